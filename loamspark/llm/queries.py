@@ -1,0 +1,51 @@
+"""The registered queries of this subpackage: each operator over its whole table, with production parameters."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import exact_dedup
+from .bpe import bpe_decode, bpe_encode
+from .common import table
+from .fst_count import fst_token_counts
+from .repetition import quality_rules
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def bpe_digests(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+    decoded = bpe_decode(encoded, path, pattern)
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path, pattern = vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    return bpe_digests(bpe_encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fst_token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
+
+
+def queries() -> dict:
+    return {f.__name__: f for f in (op4_quality_rules, op5_bpe, op6_token_counts, op8_exact_dedup)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"op8_exact_dedup": exact_dedup.ORACLE}
