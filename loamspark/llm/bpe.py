@@ -22,9 +22,11 @@ from pyspark.sql import DataFrame
 
 from .common import pick
 
-#: Matches whose ids a Python worker remembers; when full it starts anew.
-CACHE = 1 << 19
+#: Matches whose ids a Python worker remembers, in two generations of this size: when the younger is
+#: full it becomes the older, and what is met again moves to the younger.
+CACHE = 3 << 17
 GROUP_BITS = 10
+LOW = (1 << GROUP_BITS) - 1
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -32,57 +34,49 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-class RankQueue:
-    """Positions by rank; the lowest rank first, within it the leftmost position."""
-
-    __slots__ = ("top", "groups", "buckets")
-
-    def __init__(self) -> None:
-        self.top, self.groups, self.buckets = 0, {}, {}
-
-    def put(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, at)
-            return
-        self.buckets[rank] = [at]
-        g = rank >> GROUP_BITS
-        self.top |= 1 << g
-        self.groups[g] = self.groups.get(g, 0) | 1 << (rank & (1 << GROUP_BITS) - 1)
-
-    def pop(self) -> tuple[int, int] | None:
-        top = self.top
-        if not top:
-            return None
-        g = (top & -top).bit_length() - 1
-        bits = self.groups[g]
-        low = bits & -bits
-        rank = g << GROUP_BITS | low.bit_length() - 1
-        bucket = self.buckets[rank]
-        at = heappop(bucket)
-        if not bucket:
-            self.groups[g] = bits = bits ^ low
-            if not bits:
-                self.top = top ^ 1 << g
-        return rank, at
-
-
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one match."""
     n = len(piece)
     get = ranks.get
     stop = list(range(1, n + 1))  # the part that starts at i ends before stop[i]
-    prev = list(range(-1, n - 1))
+    prev = list(range(-1, n))
     pair = [-1] * n  # the rank of the pair whose left part starts at i, -1 if none or merged away
-    queue = RankQueue()
-    put, pop = queue.put, queue.pop
+    top, groups, buckets = 0, {}, {}  # groups: a bitmap of filled buckets each
+    fresh = []  # (rank, position) not yet in the queue
     for i in range(n - 1):
         r = get(piece[i : i + 2])
         if r is not None:
             pair[i] = r
-            put(r, i)
-    while (found := pop()) is not None:
-        rank, i = found
+            fresh.append((r, i))
+    while True:
+        for r, i in fresh:
+            if r in buckets:
+                heappush(buckets[r], i)
+            else:
+                buckets[r] = [i]
+                g = r >> GROUP_BITS
+                bit = 1 << (r & LOW)
+                if g in groups:
+                    groups[g] |= bit
+                else:
+                    groups[g] = bit
+                    top |= 1 << g
+        if not top:
+            break
+        fresh.clear()
+        g = (top & -top).bit_length() - 1
+        bits = groups[g]
+        low = bits & -bits
+        rank = g << GROUP_BITS | low.bit_length() - 1
+        bucket = buckets[rank]
+        i = heappop(bucket)
+        if not bucket:
+            del buckets[rank]
+            if bits == low:
+                del groups[g]
+                top ^= 1 << g
+            else:
+                groups[g] = bits ^ low
         if pair[i] != rank:
             continue
         j = stop[i]
@@ -95,7 +89,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
                 pair[i] = -1
             else:
                 pair[i] = r
-                put(r, i)
+                fresh.append((r, i))
         else:
             pair[i] = -1
         h = prev[i]
@@ -105,7 +99,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
                 pair[h] = -1
             elif pair[h] != r:
                 pair[h] = r
-                put(r, h)
+                fresh.append((r, h))
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : stop[i]]])
@@ -118,18 +112,23 @@ class Codec(dict):
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.find = ranks, regex.compile(pattern).findall
+        self.older: dict[str, bytes] = {}
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for piece, r in ranks.items():
             self.bytes_of[r] = piece
 
     def __missing__(self, match: str) -> bytes:
-        piece = match.encode()
-        r = self.ranks.get(piece)
-        ids = array("i", merge(piece, self.ranks) if r is None else (r,)).tobytes()
+        ids = self.older.get(match)
+        if ids is None:
+            piece = match.encode()
+            r = self.ranks.get(piece)
+            ids = array("i", merge(piece, self.ranks) if r is None else (r,)).tobytes()
+            if len(piece) > 64:
+                return ids
         if len(self) >= CACHE:
+            self.older = dict(self)
             self.clear()
-        if len(piece) <= 64:
-            self[match] = ids
+        self[match] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
