@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import pick
+from .common import pick, slices
 
 #: Matches whose ids a Python worker remembers, in two generations of this size: when the younger is
 #: full it becomes the older, and what is met again moves to the younger.
@@ -157,7 +157,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for b in batches:
+        for b in slices(batches, 1):
             ids = [c.encode(x or "") for x in b.column(1).to_pylist()]
             offsets = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])

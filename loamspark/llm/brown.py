@@ -20,14 +20,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut, pick
+from .common import LOWER, UPPER, cut, pick, slices
 
 #: The end token's key among words; no word is empty.
 END = b""
-FLUSH = 300_000
+#: Different words that a worker counts before it hands them on.
+FLUSH = 600_000
 TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -52,7 +54,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
             counts.clear()
             return b
 
-        for b in batches:
+        for b in slices(batches, 0):
             for x in b.column(0).cast(pa.binary()).to_pylist():
                 counts.update(words_of(x))
                 counts[END] += 1
@@ -84,7 +86,7 @@ def pair_counts(texts: DataFrame, top: list[bytes]) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((k + 1) ** 2, np.int64)
-        for b in batches:
+        for b in slices(batches, 0, 1 << 24):
             ids, _, _ = _indexed(b.column(0).cast(pa.binary()).to_pylist(), index, k)
             if len(ids):
                 before = np.append(0, ids[:-1])  # END, number 0, stands before each text's first word
@@ -188,11 +190,29 @@ class Model:
         return {"n_tokens": sizes, "n_known": add(known & (c > 0)).astype(np.int64), "base_score": add(base), "score": add(part), "lost": lost}
 
 
+def most_frequent(counts: DataFrame, held: int) -> tuple[list[bytes], np.ndarray]:
+    """END, then the words whose count reaches a bound that ``held`` words reach at most; commonest first.
+
+    The bound comes from a histogram over sixteenths of powers of two, so no task or driver sorts more.
+    """
+    bucket = F.floor(F.log2("c") * 16)
+    sizes = {r["b"]: r["n"] for r in counts.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    bound, room = max(sizes, default=0) + 1, held
+    for b in sorted(sizes, reverse=True):
+        room -= sizes[b]
+        if room < 0:
+            break
+        bound = b
+    end = F.col("word") == F.lit(END)
+    got = counts.where((bucket >= F.lit(bound)) | end).toArrow()
+    order = got.append_column("rest", pc.not_equal(pc.binary_length(got["word"]), 0)).sort_by([("rest", "ascending"), ("c", "descending"), ("word", "ascending")])
+    return order["word"].to_pylist(), order["c"].to_numpy().astype(np.float64)
+
+
 def fit(texts: DataFrame, counts: DataFrame, classes: int, exchange_words: int, held: int, sweeps: int, mix: float) -> Model:
     total = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     n, v = total[0] or 0, total[1]
-    rows = counts.orderBy(F.col("word") != F.lit(END), F.desc("c"), "word").limit(held).collect()
-    words, c = [bytes(r["word"]) for r in rows], np.array([r["c"] for r in rows], np.float64)
+    words, c = most_frequent(counts, held)
     k = min(exchange_words, len(words))
     pairs = pair_counts(texts, words[:k]) if k else np.zeros((2, 2), np.int64)
     classes = max(1, min(classes, k - 1))
@@ -224,7 +244,7 @@ def lm_scores(docs: DataFrame, classes: int = 64, exchange_words: int = 1024, he
         from pyspark import TaskContext
 
         m, number = shared.value, TaskContext.get().partitionId() << 40
-        for b in batches:
+        for b in slices(batches, 1):
             s = m.score(b.column(1).cast(pa.binary()).to_pylist())
             offsets = pa.array(np.cumsum([0, *map(len, s["lost"])]), pa.int32())
             words = pa.ListArray.from_arrays(offsets, pa.array([w for x in s["lost"] for w in x], pa.binary()))

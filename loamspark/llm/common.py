@@ -11,7 +11,11 @@ from __future__ import annotations
 
 import math
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +58,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches with ``most`` bytes of text or one row, so that a worker's memory doesn't
+    follow Spark's batch size.  ``text``: number of the column that holds it."""
+    for b in batches:
+        part = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // most
+        starts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+        for start, end in zip(starts, starts[1:]):
+            if end > start:
+                yield b.slice(start, end - start)
+
+
 def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
     """Left join of rows to their group's row, safe for groups of any size.
 

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick
+from .common import pick, slices
 
 MARK = "▁"
 #: Chunk maps, and transducer states, that a Python worker holds; when full it starts anew.
@@ -181,7 +181,7 @@ def fst_token_counts(docs: DataFrame, path: str, limit: int = 4096, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
-        for b in batches:
+        for b in slices(batches, 1):
             texts = [x or "" for x in b.column(1).to_pylist()]
             n = np.array([c.count(x) for x in texts], np.int64)
             size = np.array([len(x.encode()) for x in texts], np.int64)

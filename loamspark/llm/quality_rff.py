@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick
+from .common import cut, pick, slices
 
 STATISTICS = (
     "log_chars", "log_words", "word_length", "word_length_sd", "upper_words", "capital_words", "digit_chars", "stop_chars", "exclamations",
@@ -57,7 +57,7 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = pick(docs, id=id_col, text=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             x = [statistics(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["id", "x"])
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick
+from .common import pick, slices
 
 SYMBOLS = b"#*$%&|<>"
 #: Words of texts whose suffixes are sorted together; a longer text is sorted alone.
@@ -145,7 +145,7 @@ def quality_rules(docs: DataFrame, min_repeat: int = 8, max_covered: float = 0.4
     schema = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_covered long, longest_repeat long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             got = measure([x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()], min_repeat)
             got = {k: np.array(v, np.int64) for k, v in got.items()}
             n = got["n_words"]
