@@ -11,6 +11,7 @@ from .brown import lm_scores
 from .common import table
 from .fst_count import fst_token_counts
 from .html_extract import extract_html
+from .jaccard_groups import near_components
 from .quality_rff import quality_scores
 from .repetition import quality_rules
 
@@ -50,6 +51,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fst_token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -63,7 +68,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_mixing, op4_quality_rules, op5_bpe, op6_token_counts, op8_exact_dedup, op9_class_lm, op10_html)}
+    return {f.__name__: f for f in (op1_quality, op2_mixing, op4_quality_rules, op5_bpe, op6_token_counts, op7_jaccard, op8_exact_dedup, op9_class_lm, op10_html)}
 
 
 def oracle_sql() -> dict[str, str]:
