@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -51,13 +53,31 @@ def cut(df: DataFrame) -> DataFrame:
 
     Only where that is unset (tests on one machine) a folder of our own is used.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        set_dir = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(set_dir or tempfile.mkdtemp(prefix="checkpoint-"))
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+@contextmanager
+def written(df: DataFrame) -> Iterator[DataFrame]:
+    """df as a table in the checkpoints' folder, more compact than a checkpoint; deleted at the end, so
+    what is made of it must have been cut by then."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """The same rows in batches with ``most`` bytes of text or one row, so that a worker's memory doesn't
     follow Spark's batch size.  ``text``: number of the column that holds it."""

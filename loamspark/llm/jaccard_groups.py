@@ -14,7 +14,7 @@
 5. Links of both steps give the components.
 
 The number of pairs follows the sets that remain apart after step 3, not the square of a family of copies.
-Sets are fetched for documents in some list only; a bounded bitmap finds them before the shuffle.
+Sets are fetched for the documents of such pairs only; a bounded bitmap finds them before the shuffle.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .brown import words_of
-from .common import attach, bit_filter, cut, pick, slices
+from .common import attach, bit_filter, cut, pick, slices, written
 from .components import components
 
 CELL_BITS, BLOCK_BITS, SALTS = 20, 14, 64
@@ -55,17 +56,22 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def token_set(text: bytes | None, n: int) -> np.ndarray:
-    """Sorted hashes of the distinct n-grams; of fewer words, the whole sequence is the one token."""
-    words = words_of(text)
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    size = min(n, len(words))
-    out = np.full(len(words) - size + 1, size, np.uint64)
-    for i in range(size):
-        out = _mix(out * np.uint64(ODD[0]) + h[i : len(h) - size + 1 + i])
-    return np.unique(out)
+def token_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
+    """Each text's sorted hashes of distinct n-grams; of fewer words, the whole sequence is the one token."""
+    words = [words_of(x) for x in texts]
+    counts = np.array(list(map(len, words)), np.int64)
+    h = np.fromiter(chain.from_iterable(map(_HASHES.__getitem__, w) for w in words), np.uint64, int(counts.sum()))
+    starts = np.cumsum(counts) - counts
+
+    def tokens(size: int, h: np.ndarray) -> np.ndarray:
+        out = np.full(max(0, len(h) - size + 1), size, np.uint64)
+        for i in range(size):
+            out = _mix(out * np.uint64(ODD[0]) + h[i : len(h) - size + 1 + i])
+        return out
+
+    grams = tokens(n, h)
+    none = np.empty(0, np.uint64)
+    return [np.unique(grams[i : i + k - n + 1]) if k >= n else tokens(k, h[i : i + k]) if k else none for i, k in zip(starts.tolist(), counts.tolist())]
 
 
 def set_id(tokens: np.ndarray) -> int:
@@ -124,7 +130,7 @@ def _read(rows: DataFrame, n: int) -> DataFrame:
         id_type = None
         for b in slices(batches, 1):
             id_type = b.column(0).type
-            sets = [token_set(x, n) for x in b.column(1).cast(pa.binary()).to_pylist()]
+            sets = token_sets(b.column(1).cast(pa.binary()).to_pylist(), n)
             at = np.concatenate(sets) & np.uint64((1 << CELL_BITS) - 1)
             cells += np.bincount(at.astype(np.int64), minlength=len(cells)).astype(np.uint32)
             none = lambda t: pa.nulls(b.num_rows, t)  # noqa: E731, B023
@@ -145,8 +151,7 @@ def _entries(rows: DataFrame, order) -> DataFrame:
         o, met = order.value, set()
         for b in slices(batches, 0):
             token, count, facts = [], [], []
-            for x in b.column(0).cast(pa.binary()).to_pylist():
-                tokens = token_set(x, o.n)
+            for tokens in token_sets(b.column(0).cast(pa.binary()).to_pylist(), o.n):
                 sid = set_id(tokens)
                 if len(tokens) and sid not in met:
                     met.add(sid)
@@ -165,7 +170,7 @@ def _entries(rows: DataFrame, order) -> DataFrame:
 def _sets(rows: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 0):
-            sets = [token_set(x, n) for x in b.column(0).cast(pa.binary()).to_pylist()]
+            sets = token_sets(b.column(0).cast(pa.binary()).to_pylist(), n)
             yield pa.RecordBatch.from_arrays([pa.array(list(map(set_id, sets)), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["sid", "tokens"])
 
     return rows.select("text").mapInArrow(run, "sid long, tokens binary")
@@ -215,23 +220,24 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, members: int
     classes = cut(place_of.where("size > 0").groupBy("sid").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
 
     # Lists of first tokens that two different sets share, one of them as an index entry.
-    earliest = F.min(F.struct("place", "sid", "size"))
-    lists = _entries(rows, order).groupBy("token").agg(F.min("sid").alias("_low"), F.max("sid").alias("_high"), F.max("indexed").alias("_some"), earliest.alias("head"), F.count(F.lit(1)).alias("n"))
-    lists = cut(lists.where("_low != _high AND _some").select("token", "head", "n"))
-    facts = lists.agg(F.count(F.lit(1)), F.sum("n")).first()
-    entries = bit_filter(_entries(rows, order), F.xxhash64("token"), lists.select(F.xxhash64("token").alias("k")), facts[0])
-    entries = attach(cut(entries), lists, ["token"], "n", facts[1] or 1).where("n IS NOT NULL")
-    entries = cut(entries.select("token", "sid", "size", "place", "indexed", "head"))
-
-    wanted = entries.select("sid").distinct().join(classes, "sid").select(F.xxhash64("least").alias("k"))
-    wanted = cut(wanted)
-    near = bit_filter(rows, F.xxhash64("id"), wanted, wanted.count())
-    sets = cut(_sets(near, n).groupBy("sid").agg(F.first("tokens").alias("tokens")).join(entries.select("sid").distinct(), "sid", "left_semi"))
+    with written(_entries(rows, order)) as entries:
+        lists = entries.groupBy("token").agg(F.min("sid").alias("_low"), F.max("sid").alias("_high"), F.max("indexed").alias("_some"), F.count(F.lit(1)).alias("n"))
+        lists = cut(lists.where("_low != _high AND _some").select("token", "n"))
+        listed = cut(bit_filter(entries, F.xxhash64("token"), lists.select(F.xxhash64("token").alias("k")), lists.count()).join(lists.select("token"), "token", "left_semi"))
+    heads = listed.groupBy("token").agg(F.min(F.struct("place", "sid", "size")).alias("head"), F.count(F.lit(1)).alias("n"))
+    listed = cut(attach(listed, cut(heads), ["token"], "n", listed.count() or 1).drop("n"))
+
+    def sets_of(sids: DataFrame) -> DataFrame:
+        ids = cut(sids.distinct().join(classes, "sid").select("sid", F.xxhash64("least").alias("k")))
+        near = bit_filter(rows, F.xxhash64("id"), ids.select("k"), ids.count())
+        return cut(_sets(near, n).join(ids, "sid", "left_semi").groupBy("sid").agg(F.first("tokens").alias("tokens")))
 
     # Stars: every set against the one in whose order the shared token comes first.
     fit = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
-    stars = entries.where((F.col("sid") != F.col("head.sid")) & fit(F.col("size"), F.col("head.size"))).select(F.col("head.sid").alias("a"), F.col("sid").alias("b")).distinct()
-    stars = cut(_links(stars, sets, percent))
+    room = 1 + F.least(F.col("size") - F.col("place"), F.col("head.size") - F.col("head.place")) - 1
+    stars = listed.where((F.col("sid") != F.col("head.sid")) & fit(F.col("size"), F.col("head.size")) & (room >= least_overlap(F.col("size"), F.col("head.size"), percent)))
+    stars = cut(stars.select(F.col("head.sid").alias("a"), F.col("sid").alias("b")).distinct())
+    stars = cut(_links(stars, sets_of(stars.select(F.explode(F.array("a", "b")).alias("sid"))), percent))
     comps = cut(components(stars))
 
     # The matrix: which groups' index entries hold a token, with the most favourable place and the sizes.
@@ -239,7 +245,7 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, members: int
     labels = attach(comps, sizes, ["component"], "n", comps.count() or 1).select(F.col("node").alias("sid"), "component", F.xxhash64("component", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / members))).alias("gid"))
     labels = cut(labels)
     lone = F.col("sid")
-    placed = entries.drop("head").join(labels, "sid", "left").withColumns({"component": F.coalesce("component", lone), "gid": F.coalesce("gid", F.xxhash64(lone, F.lit(0)))})
+    placed = listed.drop("head").join(labels, "sid", "left").withColumns({"component": F.coalesce("component", lone), "gid": F.coalesce("gid", F.xxhash64(lone, F.lit(0)))})
     placed = cut(placed)
     mixed = placed.groupBy("token").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count(F.lit(1)).alias("n")).where("_a != _b").select("token", "n")
     matrix = placed.where("indexed").join(mixed, "token").groupBy("token", "gid", "component").agg(F.min("place").alias("first"), F.min("size").alias("low"), F.max("size").alias("high"))
@@ -250,12 +256,14 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, members: int
     probes = cut(probes.select(F.col("sid").alias("a"), F.col("gid").alias("b")).distinct())
 
     # Bounds by the groups' unions, then the members of the groups that qualify.
-    groups = cut(sets.join(labels, "sid", "left").withColumn("gid", F.coalesce("gid", F.xxhash64(lone, F.lit(0)))).select("sid", "gid", "tokens").join(probes.select(F.col("b").alias("gid")).distinct(), "gid", "left_semi"))
+    inside = placed.select("sid", "gid").distinct().join(probes.select(F.col("b").alias("gid")).distinct(), "gid", "left_semi")
+    inside = cut(inside)
+    sets = sets_of(probes.select(F.col("a").alias("sid")).unionByName(inside.select("sid")))
+    groups = inside.join(sets, "sid")
     bounded = probes.join(sets.withColumnsRenamed({"sid": "a", "tokens": "x"}), "a").join(_union(groups.select("gid", "tokens")).withColumnRenamed("gid", "b"), "b")
     opened = _overlaps(bounded).where(F.col("both") * 100 >= F.col("size_x") * percent).select("a", F.col("b").alias("gid"))
     length = lambda tokens: F.octet_length(tokens)
-    inside = groups.select("gid", F.col("sid").alias("b"), "tokens")
-    pairs = opened.join(inside, "gid").join(sets.withColumnsRenamed({"sid": "a", "tokens": "x"}), "a").withColumnRenamed("tokens", "y").where(fit(length("x"), length("y")))
+    pairs = opened.join(groups.withColumnRenamed("sid", "b"), "gid").join(sets.withColumnsRenamed({"sid": "a", "tokens": "x"}), "a").withColumnRenamed("tokens", "y").where(fit(length("x"), length("y")))
     more = cut(_overlaps(pairs).where(F.col("both") * 100 >= (F.col("size_x") + F.col("size_y") - F.col("both")) * percent).select("a", "b"))
 
     final = components(stars.unionByName(more)) if more.head() else comps
