@@ -4,12 +4,12 @@
    here on, under a set id, 64 bits of a digest.
 2. A fixed-size sketch counts all tokens of the corpus.  Tokens are ordered by it, rarest first, then by
    hash.  Any common order gives right results; this one makes the first tokens tell sets apart.
-3. Two sets that link share one of their first tokens (how many follows from the threshold), at places
-   that leave room for the overlap.  Each such token's sets are compared with one of them, the one in
+3. Two sets that link share some of their first tokens (how many follows from the threshold), the first
+   of them at places that leave room for the overlap.  Each such token's sets are compared with one of them, the one in
    which the token comes earliest: a number of pairs linear in the list.  Links give a first partition
    of similar documents into groups, cut to at most ``members`` sets each.
 4. The matrix has the groups that hold a token.  A set probes it with its first tokens for groups of
-   other components.  The set's overlap with the group's token union bounds that with each member;
+   other components that hold enough of them.  The set's overlap with the group's token union bounds that with each member;
    only groups whose bound suffices are opened and their members compared.
 5. Links of both steps give the components.
 
@@ -22,7 +22,6 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,25 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .brown import words_of
 from .common import attach, bit_filter, cut, pick, slices, written
 from .components import components
 
 CELL_BITS, BLOCK_BITS, SALTS = 20, 14, 64
-#: Hashes of words that a Python worker remembers; when full it starts anew.
-WORDS = 1 << 20
-ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS:
-            self.clear()
-        self[word] = h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
-
-
-_HASHES = _Hashes()
+#: Places of a set's order by which it may be probed beyond the least, and tokens that must then be shared.
+MORE = 3
+ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+LOWER_CASE = np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -56,11 +45,27 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word of all texts, A-Z lower-cased, and each text's number of words.
+
+    A word's hash is the sum of 64-bit values for its bytes at their places, all computed at once.
+    """
+    joined = np.frombuffer(b"\n".join([x or b"" for x in texts]) + b"\n", np.uint8)
+    ends = np.cumsum([len(x or b"") + 1 for x in texts])
+    inside = ~SPACE[joined]
+    first = np.flatnonzero(inside & ~np.append(False, inside[:-1]))
+    size = np.flatnonzero(~inside & np.append(False, inside[:-1])) - first
+    letters = LOWER_CASE[joined[inside]]
+    at = np.cumsum(size) - size
+    place = np.arange(len(letters), dtype=np.uint64) - np.repeat(at, size).astype(np.uint64)
+    values = _mix(letters * np.uint64(ODD[0]) + (place + np.uint64(1)) * np.uint64(ODD[2]))
+    hashes = np.add.reduceat(values, at) if len(at) else values
+    return hashes, np.diff(np.searchsorted(first, ends), prepend=0)
+
+
 def token_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
     """Each text's sorted hashes of distinct n-grams; of fewer words, the whole sequence is the one token."""
-    words = [words_of(x) for x in texts]
-    counts = np.array(list(map(len, words)), np.int64)
-    h = np.fromiter(chain.from_iterable(map(_HASHES.__getitem__, w) for w in words), np.uint64, int(counts.sum()))
+    h, counts = word_hashes(texts)
     starts = np.cumsum(counts) - counts
 
     def tokens(size: int, h: np.ndarray) -> np.ndarray:
@@ -71,7 +76,12 @@ def token_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
 
     grams = tokens(n, h)
     none = np.empty(0, np.uint64)
-    return [np.unique(grams[i : i + k - n + 1]) if k >= n else tokens(k, h[i : i + k]) if k else none for i, k in zip(starts.tolist(), counts.tolist())]
+
+    def distinct(a: np.ndarray) -> np.ndarray:
+        a = np.sort(a)
+        return a[np.append(True, a[1:] != a[:-1])]
+
+    return [distinct(grams[i : i + k - n + 1]) if k >= n else tokens(k, h[i : i + k]) if k else none for i, k in zip(starts.tolist(), counts.tolist())]
 
 
 def set_id(tokens: np.ndarray) -> int:
@@ -96,7 +106,7 @@ class Order:
     def first(self, tokens: np.ndarray) -> tuple[np.ndarray, int]:
         """Tokens to probe with, against sets no longer; and how many of them are indexed, for sets no shorter."""
         size, p = len(tokens), self.percent
-        probe, index = size - _up(size * p, 100) + 1, size - _up(2 * size * p, 100 + p) + 1
+        probe, index = size - _up(size * p, 100) + MORE, size - _up(2 * size * p, 100 + p) + MORE
         rank = np.lexsort((tokens, self.cells[(tokens & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64)]))
         return tokens[rank[:probe]], index
 
@@ -234,9 +244,10 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, members: int
 
     # Stars: every set against the one in whose order the shared token comes first.
     fit = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
-    room = 1 + F.least(F.col("size") - F.col("place"), F.col("head.size") - F.col("head.place")) - 1
-    stars = listed.where((F.col("sid") != F.col("head.sid")) & fit(F.col("size"), F.col("head.size")) & (room >= least_overlap(F.col("size"), F.col("head.size"), percent)))
-    stars = cut(stars.select(F.col("head.sid").alias("a"), F.col("sid").alias("b")).distinct())
+    stars = listed.where((F.col("sid") != F.col("head.sid")) & fit(F.col("size"), F.col("head.size")))
+    enough = F.least(F.lit(MORE), F.ceil(F.col("size") * percent / 100 - 1e-9))  # tokens that sets of such sizes share at least
+    stars = stars.groupBy(F.col("head.sid").alias("a"), F.col("sid").alias("b"), "size").agg(F.count(F.lit(1)).alias("n"))
+    stars = cut(stars.where(F.col("n") >= enough).select("a", "b"))
     stars = cut(_links(stars, sets_of(stars.select(F.explode(F.array("a", "b")).alias("sid"))), percent))
     comps = cut(components(stars))
 
@@ -252,8 +263,9 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, members: int
     matrix = matrix.withColumnRenamed("component", "other")
     room = 1 + F.least(F.col("high") - F.col("first") - 1, F.col("size") - F.col("place") - 1)
     shortest = F.greatest(F.col("low"), F.ceil(F.col("size") * percent / 100 - 1e-9))
-    probes = placed.drop("gid").join(matrix, "token").where((F.col("component") != F.col("other")) & (F.col("low") <= F.col("size")) & (F.col("high") * 100 >= F.col("size") * percent) & (room >= least_overlap(F.col("size"), shortest, percent)))
-    probes = cut(probes.select(F.col("sid").alias("a"), F.col("gid").alias("b")).distinct())
+    probes = placed.drop("gid").join(matrix, "token").where((F.col("component") != F.col("other")) & (F.col("low") <= F.col("size")) & (F.col("high") * 100 >= F.col("size") * percent))
+    probes = probes.groupBy(F.col("sid").alias("a"), F.col("gid").alias("b"), "size").agg(F.count(F.lit(1)).alias("n"), F.max(room >= least_overlap(F.col("size"), shortest, percent)).alias("roomy"))
+    probes = cut(probes.where(F.col("roomy") & (F.col("n") >= enough)).select("a", "b"))
 
     # Bounds by the groups' unions, then the members of the groups that qualify.
     inside = placed.select("sid", "gid").distinct().join(probes.select(F.col("b").alias("gid")).distinct(), "gid", "left_semi")
