@@ -99,8 +99,11 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total
     """
     is_hot = F.col(size) * HOT_SHARE >= F.lit(total)
     hot, cold = groups.where(is_hot), groups.where(~is_hot)
-    small = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, "left")
-    return rows.join(F.broadcast(hot), keys).unionByName(small)
+    if not hot.head(1):
+        return rows.join(groups, keys, "left")
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    rest = marked.where(F.col(size).isNull()).select(*rows.columns).join(cold, keys, "left")
+    return marked.where(F.col(size).isNotNull()).unionByName(rest)
 
 
 def bit_filter(rows: DataFrame, key: Column, keys: DataFrame, n_keys: int) -> DataFrame:

@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from .common import attach, cut
 
 
-def _to_least(edges: DataFrame) -> tuple[DataFrame, int]:
+def _to_least(edges: DataFrame) -> DataFrame:
     """edges (u, v) and m, the least of u and all its v.  A node's edges never meet in one task if they are many."""
     edges = cut(edges)
     least = cut(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")))
-    total = edges.count()
-    return attach(edges, least, ["u"], "n", total).drop("n"), total
+    return attach(edges, least, ["u"], "n", edges.count()).drop("n")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,16 +22,14 @@ def components(edges: DataFrame) -> DataFrame:
     settle in a few rounds, any graph in about log(n) of them.  Self-edges and repeats do no harm.
     """
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
-    seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        joined, _ = _to_least(both)
-        large = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        joined, _ = _to_least(large)
+        large = _to_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        joined = _to_least(large)
         small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).distinct()
         now = cut(small)
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(mark) == seen:
+        # Settled when every node has one edge and none leads on: each u once, and no u is a v.
+        ends = now.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(now.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+        if not ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where("out > 1 OR (out = 1 AND in = 1)").head(1):
             break
-        seen = tuple(mark)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
