@@ -9,6 +9,7 @@ Conventions for every operator:
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -64,6 +65,13 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def release(spark: SparkSession) -> None:
+    """Between an operator's phases: shuffles, broadcasts and checkpoints no longer in use are deleted
+    when the driver collects its garbage, which on its own it may do late."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def written(df: DataFrame) -> Iterator[DataFrame]:
     """df as a table in the checkpoints' folder, more compact than a checkpoint; deleted at the end, so

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, bit_filter, cut, pick, slices, written
+from .common import attach, bit_filter, cut, pick, release, slices, written
 from .components import components
 
 CELL_BITS, BLOCK_BITS, SALTS = 20, 14, 64
@@ -242,6 +242,7 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, members: int
         near = bit_filter(rows, F.xxhash64("id"), ids.select("k"), ids.count())
         return cut(_sets(near, n).join(ids, "sid", "left_semi").groupBy("sid").agg(F.first("tokens").alias("tokens")))
 
+    release(spark)
     # Stars: every set against the one in whose order the shared token comes first.
     fit = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
     stars = listed.where((F.col("sid") != F.col("head.sid")) & fit(F.col("size"), F.col("head.size")))
@@ -251,6 +252,7 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, members: int
     stars = cut(_links(stars, sets_of(stars.select(F.explode(F.array("a", "b")).alias("sid"))), percent))
     comps = cut(components(stars))
 
+    release(spark)
     # The matrix: which groups' index entries hold a token, with the most favourable place and the sizes.
     sizes = cut(comps.groupBy("component").agg(F.count(F.lit(1)).alias("n")))
     labels = attach(comps, sizes, ["component"], "n", comps.count() or 1).select(F.col("node").alias("sid"), "component", F.xxhash64("component", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / members))).alias("gid"))
@@ -267,6 +269,7 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, members: int
     probes = probes.groupBy(F.col("sid").alias("a"), F.col("gid").alias("b"), "size").agg(F.count(F.lit(1)).alias("n"), F.max(room >= least_overlap(F.col("size"), shortest, percent)).alias("roomy"))
     probes = cut(probes.where(F.col("roomy") & (F.col("n") >= enough)).select("a", "b"))
 
+    release(spark)
     # Bounds by the groups' unions, then the members of the groups that qualify.
     inside = placed.select("sid", "gid").distinct().join(probes.select(F.col("b").alias("gid")).distinct(), "gid", "left_semi")
     inside = cut(inside)
@@ -278,6 +281,7 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, members: int
     pairs = opened.join(groups.withColumnRenamed("sid", "b"), "gid").join(sets.withColumnsRenamed({"sid": "a", "tokens": "x"}), "a").withColumnRenamed("tokens", "y").where(fit(length("x"), length("y")))
     more = cut(_overlaps(pairs).where(F.col("both") * 100 >= (F.col("size_x") + F.col("size_y") - F.col("both")) * percent).select("a", "b"))
 
+    release(spark)
     final = components(stars.unionByName(more)) if more.head() else comps
     named = classes.join(final.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     named = cut(named)

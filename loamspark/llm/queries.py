@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing
+from . import exact_dedup, line_dedup, mixing
 from .bpe import bpe_decode, bpe_encode
 from .brown import lm_scores
 from .common import table
@@ -30,6 +30,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -68,8 +72,8 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_mixing, op4_quality_rules, op5_bpe, op6_token_counts, op7_jaccard, op8_exact_dedup, op9_class_lm, op10_html)}
+    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_line_dedup, op4_quality_rules, op5_bpe, op6_token_counts, op7_jaccard, op8_exact_dedup, op9_class_lm, op10_html)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
+    return {"op2_mixing": mixing.ORACLE, "op3_line_dedup": line_dedup.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
