@@ -114,10 +114,10 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total
     return marked.where(F.col(size).isNotNull()).unionByName(rest)
 
 
-def bit_filter(rows: DataFrame, key: Column, keys: DataFrame, n_keys: int) -> DataFrame:
-    """Rows whose ``key`` (a hash, long) may be among ``keys``' column ``k``; none that is there is lost.
+def _flagged(rows: DataFrame, key: Column, keys: DataFrame, n_keys: int) -> DataFrame:
+    """rows and ``_maybe``: whether key (a hash, long) may be among ``keys``' column ``k``; true if it is.
 
-    A one-hash bitmap with about 16 bits a key, from 2 KB to 32 MB: beyond 2**28 bits it lets more
+    A one-hash bitmap with about 16 bits a key, from 4 KB to 32 MB: beyond 2**28 bits it lets more
     rows through, and stays as large.  The bitmap is a broadcast table of 4 KB rows.
     """
     bits = min(28, max(15, math.ceil(math.log2(16 * max(1, n_keys)))))
@@ -126,9 +126,20 @@ def bit_filter(rows: DataFrame, key: Column, keys: DataFrame, n_keys: int) -> Da
     position = lambda k: spot(k).bitwiseAND(F.lit(32767))
     maps = keys.groupBy(bucket(F.col("k")).alias("_bucket")).agg(F.bitmap_construct_agg(position(F.col("k"))).alias("_bits"))
     octet = F.conv(F.hex(F.substring(F.col("_bits"), (F.shiftright(position(key), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return (
-        rows.withColumn("_bucket", bucket(key))
-        .join(F.broadcast(maps), "_bucket")
-        .where(F.call_function("shiftright", octet, position(key).bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1)
-        .drop("_bucket", "_bits")
-    )
+    bit = F.call_function("shiftright", octet, position(key).bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    joined = rows.withColumn("_bucket", bucket(key)).join(F.broadcast(maps), "_bucket", "left")
+    return joined.withColumn("_maybe", F.coalesce(bit, F.lit(False))).drop("_bucket", "_bits")
+
+
+def bit_filter(rows: DataFrame, key: Column, keys: DataFrame, n_keys: int) -> DataFrame:
+    """Rows whose key may be among ``keys``; none that is there is lost."""
+    return _flagged(rows, key, keys, n_keys).where("_maybe").drop("_maybe")
+
+
+def drop_ids(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """Rows whose id isn't among ``ids`` (its one column, cut); only rows that a bitmap can't clear are shuffled."""
+    bad = ids.toDF("_bad").distinct()
+    flagged = _flagged(rows, F.xxhash64(id_col), bad.select(F.xxhash64("_bad").alias("k")), ids.count())
+    clear = flagged.where(~F.col("_maybe"))
+    rest = flagged.where("_maybe").join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+    return clear.unionByName(rest).select(*rows.columns)

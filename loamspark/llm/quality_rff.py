@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick, slices
+from .common import bit_filter, cut, pick, slices
 
 STATISTICS = (
     "log_chars", "log_words", "word_length", "word_length_sd", "upper_words", "capital_words", "digit_chars", "stop_chars", "exclamations",
@@ -154,6 +154,36 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def teaching(labels: DataFrame, max_rows: int, id_col: str, label_col: str) -> DataFrame:
+    """(id, y): the labels that may be learnt from, one row an id, about ``max_rows`` at most."""
+    marks = pick(labels, id=id_col, y=label_col).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id")))
+    marks = marks.groupBy("id").agg(F.avg(F.col("y").cast("double")).alias("y"))
+    total = marks.count()
+    if total > max_rows:
+        marks = marks.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * (max_rows / total)))
+    return marks
+
+
+def quality_filter(docs: DataFrame, labels: DataFrame, features: int = 256, width: float = 4.0, ridge: float = 1.0, threshold: float = 0.7, partitions: int = 16, max_rows: int = 1_000_000, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The rows of docs, all columns, whose score reaches the threshold; see :func:`quality_scores`.
+
+    Texts aren't shuffled: those with labels are measured first, then all in the pass that filters them.
+    """
+    marks = cut(teaching(labels, max_rows, id_col, label_col))
+    known = bit_filter(pick(docs, id=id_col, text=text_col), F.xxhash64("id"), marks.select(F.xxhash64("id").alias("k")), marks.count())
+    model = fit(with_statistics(known, "id", "text").join(marks, "id").select("x", "y"), features, width, ridge, partitions, seed)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, at):
+            if model is not None:
+                x = np.array([statistics(t or b"") for t in b.column(at).cast(pa.binary()).to_pylist()])
+                b = b.filter(pa.array(np.round(model.score(x), 9) >= threshold))
+            yield b
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, features: int = 256, width: float = 4.0, ridge: float = 1.0, threshold: float = 0.7, partitions: int = 16, max_rows: int = 1_000_000, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """One row per row of docs: id, held_out, score, predicted.
 
@@ -164,11 +194,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, features: int = 256, widt
     scored alike.  Empty in, empty out.
     """
     rows = cut(with_statistics(docs, id_col, text_col))
-    marks = pick(labels, id=id_col, y=label_col).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id")))
-    marks = marks.groupBy("id").agg(F.avg(F.col("y").cast("double")).alias("y"))
-    total = marks.count()
-    if total > max_rows:
-        marks = marks.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * (max_rows / total)))
+    marks = teaching(labels, max_rows, id_col, label_col)
     model = fit(rows.join(marks, "id").select("x", "y"), features, width, ridge, partitions, seed)
     kind = rows.schema["id"].dataType.simpleString()
 
