@@ -97,18 +97,18 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = 1 << 22) ->
                 yield b.slice(start, end - start)
 
 
-def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
     """Left join of rows to their group's row, safe for groups of any size.
 
-    ``size`` is the group's number of rows and ``total`` the sum of all.  Groups of total/HOT_SHARE
-    rows or more number HOT_SHARE at most, so they may be broadcast and their rows never meet in one
-    task; all other groups are small enough to be dealt out by key.  Both inputs are read twice and
-    should have been cut.
+    ``size`` is the group's number of rows.  Groups with 1/HOT_SHARE of all these rows or more number
+    HOT_SHARE at most, so they may be broadcast and their rows never meet in one task; all other groups
+    are small enough to be dealt out by key.  Both inputs are read twice and should be cheap to read.
     """
+    total, largest = groups.agg(F.sum(size), F.max(size)).first()
+    if not total or largest * HOT_SHARE < total:
+        return rows.join(groups, keys, "left")
     is_hot = F.col(size) * HOT_SHARE >= F.lit(total)
     hot, cold = groups.where(is_hot), groups.where(~is_hot)
-    if not hot.head(1):
-        return rows.join(groups, keys, "left")
     marked = rows.join(F.broadcast(hot), keys, "left")
     rest = marked.where(F.col(size).isNull()).select(*rows.columns).join(cold, keys, "left")
     return marked.where(F.col(size).isNotNull()).unionByName(rest)

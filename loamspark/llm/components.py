@@ -10,9 +10,8 @@ from .common import attach, cut
 
 def _to_least(edges: DataFrame) -> DataFrame:
     """edges (u, v) and m, the least of u and all its v.  A node's edges never meet in one task if they are many."""
-    edges = cut(edges)
     least = cut(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")))
-    return attach(edges, least, ["u"], "n", edges.count()).drop("n")
+    return attach(edges, least, ["u"], "n").drop("n")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,10 +20,10 @@ def components(edges: DataFrame) -> DataFrame:
     Each round links every node to the least of its neighbours' (large star, then small star); stars
     settle in a few rounds, any graph in about log(n) of them.  Self-edges and repeats do no harm.
     """
-    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
+    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _to_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = cut(_to_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         joined = _to_least(large)
         small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).distinct()
         now = cut(small)

@@ -31,11 +31,11 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id",
     rows = cut(texts.select("id", hashed.alias("h"), F.unhex(F.sha2("text", 256)).alias("sha")))
     doubled = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", F.xxhash64("h").alias("k"))
     doubled = cut(doubled)
-    n_doubled, total = doubled.count(), rows.count()
+    n_doubled = doubled.count()
     again = bit_filter(texts.withColumn("h", hashed), F.xxhash64("h"), doubled, n_doubled)
     classes = again.groupBy("h", "text").agg(F.count(F.lit(1)).alias("group_size"), best(boxed)[0].alias("keep_id"))
     classes = cut(classes.where("group_size > 1").select("h", F.unhex(F.sha2("text", 256)).alias("sha"), "group_size", "keep_id"))
-    return attach(rows, classes, ["h", "sha"], "group_size", total).select(
+    return attach(rows, classes, ["h", "sha"], "group_size").select(
         F.col("id").alias(id_col),
         F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),

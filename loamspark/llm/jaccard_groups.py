@@ -235,7 +235,7 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, members: int
         lists = cut(lists.where("_low != _high AND _some").select("token", "n"))
         listed = cut(bit_filter(entries, F.xxhash64("token"), lists.select(F.xxhash64("token").alias("k")), lists.count()).join(lists.select("token"), "token", "left_semi"))
     heads = listed.groupBy("token").agg(F.min(F.struct("place", "sid", "size")).alias("head"), F.count(F.lit(1)).alias("n"))
-    listed = cut(attach(listed, cut(heads), ["token"], "n", listed.count() or 1).drop("n"))
+    listed = cut(attach(listed, cut(heads), ["token"], "n").drop("n"))
 
     def sets_of(sids: DataFrame) -> DataFrame:
         ids = cut(sids.distinct().join(classes, "sid").select("sid", F.xxhash64("least").alias("k")))
@@ -255,7 +255,7 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, members: int
     release(spark)
     # The matrix: which groups' index entries hold a token, with the most favourable place and the sizes.
     sizes = cut(comps.groupBy("component").agg(F.count(F.lit(1)).alias("n")))
-    labels = attach(comps, sizes, ["component"], "n", comps.count() or 1).select(F.col("node").alias("sid"), "component", F.xxhash64("component", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / members))).alias("gid"))
+    labels = attach(comps, sizes, ["component"], "n").select(F.col("node").alias("sid"), "component", F.xxhash64("component", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / members))).alias("gid"))
     labels = cut(labels)
     lone = F.col("sid")
     placed = listed.drop("head").join(labels, "sid", "left").withColumns({"component": F.coalesce("component", lone), "gid": F.coalesce("gid", F.xxhash64(lone, F.lit(0)))})
@@ -286,6 +286,6 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, members: int
     named = classes.join(final.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     named = cut(named)
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("m"))
-    per_set = cut(attach(named, cut(smallest), ["component"], "m", named.count() or 1).select("sid", "n", "component_id"))
-    out = attach(cut(place_of), per_set, ["sid"], "n", place_of.count() or 1)
+    per_set = cut(attach(named, cut(smallest), ["component"], "m").select("sid", "n", "component_id"))
+    out = attach(place_of, per_set, ["sid"], "n")
     return out.select(F.col("id").alias(id_col), F.col("size").cast("long").alias("n_shingles"), F.when(F.col("size") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -33,8 +33,8 @@ def segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
     return (i * base + F.greatest(F.lit(0), extra)).cast("int"), (base + F.when(extra >= 0, 1).otherwise(0)).cast("int")
 
 
-def index_hashes(line: Column, max_edits: int) -> list[Column]:
-    n = F.char_length(line)
+def index_hashes(line: Column, n: Column, max_edits: int) -> list[Column]:
+    """``n``: the line's length, a column of its own, as it is used many times."""
     out = []
     for i in range(max_edits + 1):
         start, size = segment(n, i, max_edits + 1)
@@ -42,45 +42,44 @@ def index_hashes(line: Column, max_edits: int) -> list[Column]:
     return out
 
 
-def probe_hashes(line: Column, max_edits: int) -> list[Column]:
+def probe_hashes(line: Column, n: Column, max_edits: int) -> list[Column]:
     """For lines as long or up to max_edits shorter; places that leave a segment's text earlier edits than
     its number, or later ones than are left, can't match (some other segment would)."""
-    n = F.char_length(line)
     out = []
     for shorter in range(max_edits + 1):
         for i in range(max_edits + 1):
             start, size = segment(n - shorter, i, max_edits + 1)
             for shift in range(max(-i, shorter - (max_edits - i)), min(i, shorter + max_edits - i) + 1):
-                at = start + shift
-                inside = (at >= 0) & (at + size <= n)
-                out.append(F.when(inside, F.xxhash64(F.lit(i), n - shorter, F.substring(line, at + 1, size))))
+                found = F.xxhash64(F.lit(i), n - shorter, F.substring(line, start + shift + 1, size))
+                inside = (start + shift >= 0) & (start + shift + size <= n)
+                out.append(found if 0 <= shift <= shorter else F.when(inside, found))
     return out
 
 
 def within(a: Column, b: Column, max_edits: int) -> Column:
-    """Whether the edit distance (of characters, longest first or not) is max_edits at most.
+    """Whether the edit distance, in characters, is max_edits at most.
 
-    Bit d + max_edits of mask e says that with e edits i characters of a can become i + d of b.
+    Bit d + max_edits of mask e says that with e edits the first i characters of a can become the first
+    i + d of b.  b's characters travel in the fold's state, so that they are split once.
     """
     k = max_edits
-    x, y = F.split(a, ""), F.split(b, "")
     n, m = F.char_length(a), F.char_length(b)
     band = (1 << 2 * k + 1) - 1
 
-    def step(masks: Column, i: Column) -> Column:
-        c = x[i]
+    def step(state: Column, c: Column) -> Column:
+        y, i = state["y"], state["i"]
         same = reduce(lambda p, q: p.bitwiseOR(q), [F.when(F.get(y, i + d) == c, 1 << d + k).otherwise(0) for d in range(-k, k + 1)])
         new: list[Column] = []
         for e in range(k + 1):
-            now = masks[f"m{e}"].bitwiseAND(same)
+            now = state[f"m{e}"].bitwiseAND(same)
             if e:
-                less = masks[f"m{e - 1}"]
+                less = state[f"m{e - 1}"]
                 now = now.bitwiseOR(less).bitwiseOR(F.shiftright(less, 1)).bitwiseOR(F.shiftleft(new[-1], 1)).bitwiseAND(F.lit(band))
             new.append(now)
-        return F.struct(*[v.alias(f"m{e}") for e, v in enumerate(new)])
+        return F.struct(y.alias("y"), (i + 1).alias("i"), *[v.alias(f"m{e}") for e, v in enumerate(new)])
 
-    first = F.struct(*[F.lit(sum(1 << k + d for d in range(e + 1))).alias(f"m{e}") for e in range(k + 1)])
-    end = F.aggregate(F.sequence(F.lit(0), n - 1), first, step, lambda masks: masks[f"m{k}"])
+    first = F.struct(F.split(b, "").alias("y"), F.lit(0).alias("i"), *[F.lit(sum(1 << k + d for d in range(e + 1))).alias(f"m{e}") for e in range(k + 1)])
+    end = F.aggregate(F.split(a, ""), first, step, lambda state: state[f"m{k}"])
     return (F.abs(n - m) <= k) & F.call_function("shiftright", end, m - n + k).bitwiseAND(F.lit(1)).cast("boolean")
 
 
@@ -101,14 +100,14 @@ def line_dedup(docs: DataFrame, max_edits: int = 1, min_chars: int = 24, carry:
     k = max_edits
     rows = pick(docs, id=id_col, text=text_col, **{f"c{i}": c for i, c in enumerate(carry)})
     rows = rows.withColumn("rid", F.xxhash64("id", "text"))
-    lines = rows.select("id", "rid", F.posexplode(F.split(whole(), "\n")).alias("at", "line")).where(F.char_length("line") >= max(min_chars, k + 1))
+    lines = rows.select("id", "rid", F.posexplode(F.split(whole(), "\n")).alias("at", "line")).withColumn("size", F.char_length("line")).where(F.col("size") >= max(min_chars, k + 1))
     digest, number = F.unhex(F.md5("line")), F.xxhash64("line")
     place = F.struct("id", "rid", "at")
-    different = (
-        lines.select(digest.alias("key"), number.alias("lid"), place.alias("place"), F.array(*index_hashes(F.col("line"), k)).alias("index"), F.array_compact(F.array(*probe_hashes(F.col("line"), k))).alias("probe"))
-        .groupBy("key", "lid")
-        .agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), F.first("index").alias("index"), F.first("probe").alias("probe"))
-    )
+    hashes = {f"h{i}": h for i, h in enumerate([*index_hashes(F.col("line"), F.col("size"), k), *probe_hashes(F.col("line"), F.col("size"), k)])}
+    # A line's hashes follow from it: as keys they need no state of their own.
+    different = lines.select(digest.alias("key"), number.alias("lid"), place.alias("place"), *[h.alias(x) for x, h in hashes.items()]).groupBy("key", "lid", *hashes).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    of_index, of_probe = [*hashes][: k + 1], [*hashes][k + 1 :]
+    different = different.select("key", "lid", "first", "n", F.array(*of_index).alias("index"), F.array_compact(F.array(*of_probe)).alias("probe"))
     different = cut(different)
 
     index = different.select("lid", F.explode("index").alias("h"))
@@ -124,10 +123,9 @@ def line_dedup(docs: DataFrame, max_edits: int = 1, min_chars: int = 24, carry:
     late = near.select(F.when(F.col("first_a") < F.col("first_b"), F.col("key_b")).otherwise(F.col("key_a")).alias("key")).distinct().withColumn("late", F.lit(True))
 
     hit = cut(different.select("key", "first", "n").join(late, "key", "left").where("n > 1 OR late"))
-    total = different.agg(F.sum("n")).first()[0] or 1
     placed = lines.select(digest.alias("key"), place.alias("place"))
     placed = cut(bit_filter(placed, F.xxhash64("key"), hit.select(F.xxhash64("key").alias("k")), hit.count()))
-    gone = attach(placed, hit, ["key"], "n", total).where("n IS NOT NULL AND (late OR place != first)")
+    gone = attach(placed, hit, ["key"], "n").where("n IS NOT NULL AND (late OR place != first)")
     gone = gone.select(F.col("place.rid").alias("rid"), F.col("place.id").alias("_id"), F.col("place.at").alias("at")).groupBy("rid", "_id").agg(F.collect_set("at").alias("gone"))
 
     whole_docs = rows.join(gone, (rows["rid"] == gone["rid"]) & rows["id"].eqNullSafe(gone["_id"]), "left")

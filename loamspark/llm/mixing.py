@@ -117,7 +117,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
         .agg(F.sum("whole").alias("whole"), F.sum("part").alias("part"))
     )
 
-    placed = attach(rows, sources.select("src_null", "src", "sid", "source_size", "target", "n"), ["src_null", "src"], "n", n)
+    placed = attach(rows, sources.select("src_null", "src", "sid", "source_size", "target", "n"), ["src_null", "src"], "n")
     placed = running_sum(placed.drop("src_null", "src", "n"), "sid", "h", 60, "size", n, ("id", "size"))
     first, end = F.col("before"), F.col("before") + F.col("size")
     spread = F.when(F.col("size") > 0, F.sequence(F.floor(first / block), F.floor((end - 1) / block)))
