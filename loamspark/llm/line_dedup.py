@@ -8,8 +8,11 @@ begins earlier: in a document with a smaller id, or higher up in the same one.
    segment of the shorter in common, at a place that the lengths bound.  Index rows carry a segment's
    hash with its number and the line's length, probe rows the hashes of the longer line's substrings at
    the few places that can match (left and right of the segment, no more edits than there are).
-3. Pairs that meet are compared by their texts: a sieve of character classes, then a bit-parallel
-   automaton over the band of 2 * max_edits + 1 diagonals, one bit mask for each number of edits.
+   Lists of one hash that would make many pairs are cut finer: lines there must share another half of
+   a segment as well.
+3. Pairs that meet are compared by their texts: pieces that must be there, a sieve of character classes,
+   then a bit-parallel automaton over the band of 2 * max_edits + 1 diagonals, one mask for each number
+   of edits.
 4. Documents lose the lines found; each document's text is shuffled once.
 """
 
@@ -42,20 +45,49 @@ def index_hashes(line: Column, n: Column, max_edits: int) -> list[Column]:
     return out
 
 
+def probe_places(max_edits: int) -> list[tuple[int, int, int]]:
+    """(how much shorter the other line is, segment, shift) of each probe; places that leave a segment's text
+    earlier edits than its number, or later ones than are left, can't match (some other segment would)."""
+    k = max_edits
+    return [(d, i, shift) for d in range(k + 1) for i in range(k + 1) for shift in range(max(-i, d - (k - i)), min(i, d + k - i) + 1)]
+
+
+def part_at(line: Column, n: Column, start: Column, size: Column, inside: bool) -> Column:
+    part = F.substring(line, start + 1, size)
+    return part if inside else F.when((start >= 0) & (start + size <= n), part)
+
+
 def probe_hashes(line: Column, n: Column, max_edits: int) -> list[Column]:
-    """For lines as long or up to max_edits shorter; places that leave a segment's text earlier edits than
-    its number, or later ones than are left, can't match (some other segment would)."""
+    """Null where the place isn't in the line."""
+    out = []
+    for shorter, i, shift in probe_places(max_edits):
+        start, size = segment(n - shorter, i, max_edits + 1)
+        part = part_at(line, n, start + shift, size, 0 <= shift <= shorter)
+        out.append(F.when(part.isNotNull(), F.xxhash64(F.lit(i), n - shorter, part)))
+    return out
+
+
+def halves(length: Column, max_edits: int) -> list[tuple[Column, Column]]:
+    """Start and length of each segment's two halves."""
     out = []
-    for shorter in range(max_edits + 1):
-        for i in range(max_edits + 1):
-            start, size = segment(n - shorter, i, max_edits + 1)
-            for shift in range(max(-i, shorter - (max_edits - i)), min(i, shorter + max_edits - i) + 1):
-                found = F.xxhash64(F.lit(i), n - shorter, F.substring(line, start + shift + 1, size))
-                inside = (start + shift >= 0) & (start + shift + size <= n)
-                out.append(found if 0 <= shift <= shorter else F.when(inside, found))
+    for i in range(max_edits + 1):
+        start, size = segment(length, i, max_edits + 1)
+        half = F.floor(size / 2).cast("int")
+        out += [(start, half), (start + half, size - half)]
     return out
 
 
+def finer(index: DataFrame, probe: DataFrame, texts: DataFrame, max_edits: int) -> DataFrame:
+    """Pairs of lists that would make many: of the segments' halves outside the shared segment, one more is
+    untouched by the edits, so lines meet on it too.  index: lid, h, i; probe: lid, h, i, shorter; texts: lid, line."""
+    n, line, k = F.char_length("line"), F.col("line"), max_edits
+    hashed = lambda g, part: F.struct(F.lit(g).alias("g"), F.when(part.isNotNull(), F.xxhash64("h", F.lit(g), part)).alias("r"))
+    own = [hashed(g, F.substring(line, start + 1, size)) for g, (start, size) in enumerate(halves(n, k))]
+    other = [hashed(g, part_at(line, n, start + shift, size, False)) for g, (start, size) in enumerate(halves(n - F.col("shorter"), k)) for shift in range(-k, k + 1)]
+    meet = lambda rows, parts, name: rows.join(texts, "lid").select(F.col("lid").alias(name), "i", F.explode(F.array(*parts)).alias("p")).where((F.floor(F.col("p.g") / 2) != F.col("i")) & F.col("p.r").isNotNull()).select(name, F.col("p.r").alias("r"))
+    return meet(index, own, "lid").join(meet(probe, other, "other"), "r").select("lid", "other")
+
+
 def within(a: Column, b: Column, max_edits: int) -> Column:
     """Whether the edit distance, in characters, is max_edits at most.
 
@@ -83,19 +115,30 @@ def within(a: Column, b: Column, max_edits: int) -> Column:
     return (F.abs(n - m) <= k) & F.call_function("shiftright", end, m - n + k).bitwiseAND(F.lit(1)).cast("boolean")
 
 
+def pieces_match(a: Column, b: Column, max_edits: int, parts: int = 8) -> Column:
+    """Whether all but max_edits of a's pieces stand in b, at most max_edits off; edits can't spoil more."""
+    n, found = F.char_length(a), []
+    for i in range(parts):
+        start, size = segment(n, i, parts)
+        piece = F.substring(a, start + 1, size)
+        found.append(reduce(lambda p, q: p | q, [(start + d >= 0) & (F.substring(b, F.greatest(start + d, F.lit(0)) + 1, size) == piece) for d in sorted(range(-max_edits, max_edits + 1), key=abs)]).cast("int"))
+    return reduce(lambda p, q: p + q, found) >= parts - max_edits
+
+
 def sieve(a: Column, b: Column, max_edits: int) -> Column:
     without = lambda s, chars: F.char_length(F.translate(s, chars, ""))
     return reduce(lambda p, q: p & q, [F.abs((F.char_length(a) - without(a, c)) - (F.char_length(b) - without(b, c))) <= max_edits for c in CLASSES])
 
 
-def line_dedup(docs: DataFrame, max_edits: int = 1, min_chars: int = 24, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, max_edits: int = 1, min_chars: int = 24, carry: tuple[str, ...] = (), long_list: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: id, text without the lines that go, n_lines, n_dropped, then the ``carry`` columns.
 
     Lines are what ``\\n`` separates, compared as they are.  Null texts stay null and have no lines; an
     empty text has one, empty.  Where all lines go the text is empty.  Of ids null is the smallest.
     Rows repeated with id and text are one document: all of them keep its lines.  Texts under one id
     follow each other by a hash.  Chains drop from their second line on: what a line is near to need
-    not be kept itself.  Empty in, empty out.
+    not be kept itself.  ``long_list``: pairs that a hash may make before its list is cut finer; it
+    changes no result.  Empty in, empty out.
     """
     k = max_edits
     rows = pick(docs, id=id_col, text=text_col, **{f"c{i}": c for i, c in enumerate(carry)})
@@ -107,19 +150,35 @@ def line_dedup(docs: DataFrame, max_edits: int = 1, min_chars: int = 24, carry:
     # A line's hashes follow from it: as keys they need no state of their own.
     different = lines.select(digest.alias("key"), number.alias("lid"), place.alias("place"), *[h.alias(x) for x, h in hashes.items()]).groupBy("key", "lid", *hashes).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
     of_index, of_probe = [*hashes][: k + 1], [*hashes][k + 1 :]
-    different = different.select("key", "lid", "first", "n", F.array(*of_index).alias("index"), F.array_compact(F.array(*of_probe)).alias("probe"))
+    different = different.select("key", "lid", "first", "n", F.array(*of_index).alias("index"), F.array(*of_probe).alias("probe"))
     different = cut(different)
 
-    index = different.select("lid", F.explode("index").alias("h"))
-    probe = different.select(F.col("lid").alias("other"), F.explode("probe").alias("h"))
-    pairs = index.join(probe, "h").where("lid != other").select(F.least("lid", "other").alias("a"), F.greatest("lid", "other").alias("b")).distinct()
-    pairs = cut(pairs)
-    lids = cut(pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct())
-    texts = bit_filter(lines.select("line", number.alias("lid")), F.col("lid"), lids.select(F.col("lid").alias("k")), lids.count())
-    texts = texts.join(lids, "lid", "left_semi").distinct().withColumn("key", F.unhex(F.md5("line")))
+    def texts_of(lids: DataFrame) -> DataFrame:
+        lids = cut(lids.distinct())
+        some = bit_filter(lines.select("line", number.alias("lid")), F.col("lid"), lids.select(F.col("lid").alias("k")), lids.count())
+        return some.join(lids, "lid", "left_semi").distinct()
+
+    index = different.select("lid", F.posexplode("index").alias("i", "h"))
+    place_of = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(d).alias("shorter")) for d, i, _ in probe_places(k)])
+    probe = different.select("lid", F.posexplode("probe").alias("p", "h")).where("h IS NOT NULL").select("lid", "h", F.get(place_of, F.col("p")).alias("p")).select("lid", "h", "p.i", "p.shorter")
+    count = lambda rows, name: rows.groupBy("h").agg(F.count(F.lit(1)).alias(name))
+    long = cut(count(index, "a").join(count(probe, "b"), "h").where(F.col("a") * F.col("b") > long_list).select("h")) if k else different.select("lid").where("false").toDF("h")
+    if long.head(1):
+        index_long, probe_long = (cut(x.join(long, "h", "left_semi")) for x in (index, probe))
+        pairs = finer(index_long, probe_long, cut(texts_of(index_long.select("lid").unionByName(probe_long.select("lid")))), k)
+        index, probe = (x.join(long, "h", "left_anti") for x in (index, probe))
+        pairs = pairs.unionByName(index.join(probe.withColumnRenamed("lid", "other").drop("i"), "h").select("lid", "other"))
+    else:
+        pairs = index.join(probe.withColumnRenamed("lid", "other").drop("i"), "h").select("lid", "other")
+    pairs = cut(pairs.where("lid != other").select(F.least("lid", "other").alias("a"), F.greatest("lid", "other").alias("b")).distinct())
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("lid"))).withColumn("key", F.unhex(F.md5("line")))
     texts = cut(texts.join(different.select("key", "first"), "key"))
     of = lambda side: texts.select(F.col("lid").alias(side), F.col("line").alias(f"line_{side}"), F.col("key").alias(f"key_{side}"), F.col("first").alias(f"first_{side}"))
-    near = pairs.join(of("a"), "a").join(of("b"), "b").where(sieve(F.col("line_a"), F.col("line_b"), k)).where(within(F.col("line_a"), F.col("line_b"), k))
+    near = pairs.join(of("a"), "a").join(of("b"), "b")
+    # Nested, so that each test is made only after the cheaper ones.
+    x, y = F.col("line_a"), F.col("line_b")
+    close = F.when(pieces_match(x, y, k), F.when(sieve(x, y, k), within(x, y, k)))
+    near = near.select("key_a", "key_b", "first_a", "first_b", close.alias("close")).where("close")
     late = near.select(F.when(F.col("first_a") < F.col("first_b"), F.col("key_b")).otherwise(F.col("key_a")).alias("key")).distinct().withColumn("late", F.lit(True))
 
     hit = cut(different.select("key", "first", "n").join(late, "key", "left").where("n > 1 OR late"))
