@@ -24,7 +24,7 @@ from .common import pick, slices
 
 #: Matches whose ids a Python worker remembers, in two generations of this size: when the younger is
 #: full it becomes the older, and what is met again moves to the younger.
-CACHE = 3 << 17
+CACHE = 1 << 18
 GROUP_BITS = 10
 LOW = (1 << GROUP_BITS) - 1
 
@@ -163,6 +163,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
             values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["id", "ids"])
+        c.older = {}  # an idle worker keeps the younger generation only
 
     rows = pick(docs, id=id_col, text=text_col)
     kind = rows.schema["id"].dataType.simpleString()
