@@ -69,7 +69,9 @@ def token_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
     starts = np.cumsum(counts) - counts
 
     def tokens(size: int, h: np.ndarray) -> np.ndarray:
-        out = np.full(max(0, len(h) - size + 1), size, np.uint64)
+        if len(h) < size:
+            return np.empty(0, np.uint64)
+        out = np.full(len(h) - size + 1, size, np.uint64)
         for i in range(size):
             out = _mix(out * np.uint64(ODD[0]) + h[i : len(h) - size + 1 + i])
         return out

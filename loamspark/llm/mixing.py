@@ -89,8 +89,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 
     A source's taken words add up to its target, rounded.  Null texts have no words; a null source is a
     source, the last.  Documents without words, and all of an empty source, take nothing.  Rows repeated
-    under one id are documents of their own in the stream and the counts, but come out as one row with
-    their sizes and taken words added up.  Empty in, empty out.
+    under one id are documents of their own, a row each (those without words come out as one).  Empty
+    in, empty out.
     """
     rows = cut(sized(docs, id_col, text_col, source_col, seed))
     sources = rows.groupBy("src_null", "src").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
