@@ -62,8 +62,9 @@ def probe_hashes(line: Column, n: Column, max_edits: int) -> list[Column]:
     out = []
     for shorter, i, shift in probe_places(max_edits):
         start, size = segment(n - shorter, i, max_edits + 1)
-        part = part_at(line, n, start + shift, size, 0 <= shift <= shorter)
-        out.append(F.when(part.isNotNull(), F.xxhash64(F.lit(i), n - shorter, part)))
+        found = F.xxhash64(F.lit(i), n - shorter, F.substring(line, start + shift + 1, size))
+        inside = (start + shift >= 0) & (start + shift + size <= n)
+        out.append(found if 0 <= shift <= shorter else F.when(inside, found))
     return out
 
 
@@ -111,10 +112,30 @@ def within(a: Column, b: Column, max_edits: int) -> Column:
         return F.struct(y.alias("y"), (i + 1).alias("i"), *[v.alias(f"m{e}") for e, v in enumerate(new)])
 
     first = F.struct(F.split(b, "").alias("y"), F.lit(0).alias("i"), *[F.lit(sum(1 << k + d for d in range(e + 1))).alias(f"m{e}") for e in range(k + 1)])
-    end = F.aggregate(F.split(a, ""), first, step, lambda state: state[f"m{k}"])
+    end = F.aggregate(F.filter(F.split(a, ""), lambda c: c != ""), first, step, lambda state: state[f"m{k}"])
     return (F.abs(n - m) <= k) & F.call_function("shiftright", end, m - n + k).bitwiseAND(F.lit(1)).cast("boolean")
 
 
+def bind(value: Column, f) -> Column:
+    """f(value), value computed once however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def trimmed(a: Column, b: Column, parts: int = 8) -> Column:
+    """A struct (x, y): both without a common start and end, found by eighths; that changes no edit distance."""
+    share = lambda whole, i: F.floor(whole * i / parts).cast("int")
+    longest = lambda whole, same: F.greatest(F.lit(0), *[F.when(same(share(whole, i)), share(whole, i)) for i in range(1, parts + 1)])
+    start = lambda s, size: F.substring(s, F.lit(1), size)
+
+    def cut_ends(t: Column) -> Column:
+        n, m = t["n"], t["m"]
+        p = longest(n, lambda size: start(a, size) == start(b, size))
+        q = lambda p: longest(F.least(n, m) - p, lambda size: F.right(a, size) == F.right(b, size))
+        return bind(p, lambda p: bind(q(p), lambda q: F.struct(F.substring(a, p + 1, n - p - q).alias("x"), F.substring(b, p + 1, m - p - q).alias("y"))))
+
+    return bind(F.struct(F.char_length(a).alias("n"), F.char_length(b).alias("m")), cut_ends)
+
+
 def pieces_match(a: Column, b: Column, max_edits: int, parts: int = 8) -> Column:
     """Whether all but max_edits of a's pieces stand in b, at most max_edits off; edits can't spoil more."""
     n, found = F.char_length(a), []
@@ -177,7 +198,7 @@ def line_dedup(docs: DataFrame, max_edits: int = 1, min_chars: int = 24, carry:
     near = pairs.join(of("a"), "a").join(of("b"), "b")
     # Nested, so that each test is made only after the cheaper ones.
     x, y = F.col("line_a"), F.col("line_b")
-    close = F.when(pieces_match(x, y, k), F.when(sieve(x, y, k), within(x, y, k)))
+    close = F.when(pieces_match(x, y, k), F.when(sieve(x, y, k), bind(trimmed(x, y), lambda t: within(t["x"], t["y"], k))))
     near = near.select("key_a", "key_b", "first_a", "first_b", close.alias("close")).where("close")
     late = near.select(F.when(F.col("first_a") < F.col("first_b"), F.col("key_b")).otherwise(F.col("key_a")).alias("key")).distinct().withColumn("late", F.lit(True))
 
