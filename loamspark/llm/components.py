@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, cut
+from .common import attach, cut, release
 
 
 def _to_least(edges: DataFrame) -> DataFrame:
@@ -22,6 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     while True:
+        release(edges.sparkSession)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = cut(_to_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         joined = _to_least(large)

@@ -277,8 +277,11 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, members: int
     inside = cut(inside)
     sets = sets_of(probes.select(F.col("a").alias("sid")).unionByName(inside.select("sid")))
     groups = inside.join(sets, "sid")
-    bounded = probes.join(sets.withColumnsRenamed({"sid": "a", "tokens": "x"}), "a").join(_union(groups.select("gid", "tokens")).withColumnRenamed("gid", "b"), "b")
-    opened = _overlaps(bounded).where(F.col("both") * 100 >= F.col("size_x") * percent).select("a", F.col("b").alias("gid"))
+    release(spark)
+    unions = cut(_union(groups.select("gid", "tokens")).withColumnRenamed("gid", "b"))
+    bounded = probes.join(sets.withColumnsRenamed({"sid": "a", "tokens": "x"}), "a").join(unions, "b")
+    opened = cut(_overlaps(bounded).where(F.col("both") * 100 >= F.col("size_x") * percent).select("a", F.col("b").alias("gid")))
+    release(spark)
     length = lambda tokens: F.octet_length(tokens)
     pairs = opened.join(groups.withColumnRenamed("sid", "b"), "gid").join(sets.withColumnsRenamed({"sid": "a", "tokens": "x"}), "a").withColumnRenamed("tokens", "y").where(fit(length("x"), length("y")))
     more = cut(_overlaps(pairs).where(F.col("both") * 100 >= (F.col("size_x") + F.col("size_y") - F.col("both")) * percent).select("a", "b"))
@@ -287,6 +290,7 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, members: int
     final = components(stars.unionByName(more)) if more.head() else comps
     named = classes.join(final.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     named = cut(named)
+    release(spark)
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("m"))
     per_set = cut(attach(named, cut(smallest), ["component"], "m").select("sid", "n", "component_id"))
     out = attach(place_of, per_set, ["sid"], "n")
