@@ -198,6 +198,29 @@ def test_class_model_is_a_distribution(spark):
     assert sum(model.steps[0]) == pytest.approx(1)
 
 
+def test_every_repeated_word_has_a_class(spark):
+    rnd = random.Random(7)
+    animals, verbs = [f"animal{i}" for i in range(30)], [f"verb{i}" for i in range(30)]
+    rows = [(i, " ".join(f"the {rnd.choice(animals)} will {rnd.choice(verbs)}" for _ in range(5))) for i in range(300)] + [(1000, "once")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = df.select("text")
+    counts = brown.word_counts(texts)
+    models = [brown.fit(texts, counts, 8, 3 + 12, held, 4, 0.9) for held in (1000, 40)]
+    model = models[0]
+    of = {w.decode(): int(model.of[i]) for w, i in model.words.items()}
+    rare = len(model.steps) - 1
+    assert of["once"] == rare and all(of[w] != rare for w in animals + verbs) and not {of[w] for w in animals} & {of[w] for w in verbs}
+    # Classes that reach the texts by the join count the same bigrams as those the workers hold.
+    assert len(models[1].words) < len(model.words) and np.allclose(models[1].steps, model.steps)
+    scores = [{r.doc_id: (r.n_known, r.base_score, r.score) for r in brown.lm_scores(df, 8, 15, held).collect()} for held in (1000, 40)]
+    assert scores[0].keys() == scores[1].keys() and all(np.allclose(scores[0][d], scores[1][d]) for d in scores[0])
+
+
+def test_classes_grow_with_the_words(spark):
+    texts = spark.createDataFrame([(" ".join(f"w{i}" for i in range(1000)),)] * 2, "text string")
+    assert len(brown.fit(texts, brown.word_counts(texts), 4, 8, 100, 1, 0.9).steps) == 12
+
+
 def test_quality_learns(spark):
     rnd = random.Random(8)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 8)))
