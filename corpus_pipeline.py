@@ -26,8 +26,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that begin earlier elsewhere; n_chars follows the text."""
-    lines = line_dedup(docs, carry=("lang", "source", "n_chars"))
+    """All documents, without lines that begin earlier elsewhere, short ones too; n_chars follows the text."""
+    lines = line_dedup(docs, carry=("lang", "source", "n_chars"), short_copies=True)
     n_chars = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return lines.withColumn("n_chars", n_chars).select("doc_id", "text", "lang", "source", "n_chars")
 

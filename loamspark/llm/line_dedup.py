@@ -1,7 +1,8 @@
 """Line dedup by a segment-partition edit join, DataFrame functions only.
 
 A line of ``min_chars`` characters or more goes if the same line, or one within ``max_edits`` edits of it,
-begins earlier: in a document with a smaller id, or higher up in the same one.  Shorter lines stay.
+begins earlier: in a document with a smaller id, or higher up in the same one.  Shorter lines stay, or
+with ``short_copies`` go if the same line begins earlier and they are not blank.
 
 1. Lines are grouped by a 128-bit digest; a line's first place and its hashes come along.
 2. Each line is cut into max_edits + 1 segments of near-equal length; lines within the threshold have a
@@ -23,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, bit_filter, cut, pick, whole
+from .common import WORD, attach, bit_filter, cut, pick, whole
 
 #: Classes of characters for the sieve; one edit changes the number of characters in a class by one at most.
 CLASSES = ("aeiou", "lnrst", "bcdfghjkmpqvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " .,;:!?-")
@@ -151,7 +152,7 @@ def sieve(a: Column, b: Column, max_edits: int) -> Column:
     return reduce(lambda p, q: p & q, [F.abs((F.char_length(a) - without(a, c)) - (F.char_length(b) - without(b, c))) <= max_edits for c in CLASSES])
 
 
-def line_dedup(docs: DataFrame, max_edits: int = 1, min_chars: int = 24, carry: tuple[str, ...] = (), long_list: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, max_edits: int = 1, min_chars: int = 24, carry: tuple[str, ...] = (), long_list: int = 256, id_col: str = "doc_id", text_col: str = "text", short_copies: bool = False) -> DataFrame:
     """One row per row: id, text without the lines that go, n_lines, n_dropped, then the ``carry`` columns.
 
     Lines are what ``\\n`` separates, compared as they are.  Null texts stay null and have no lines; an
@@ -159,15 +160,20 @@ def line_dedup(docs: DataFrame, max_edits: int = 1, min_chars: int = 24, carry:
     Rows repeated with id and text are one document: all of them keep its lines.  Texts under one id
     follow each other by a hash.  Chains drop from their second line on: what a line is near to need
     not be kept itself.  ``long_list``: pairs that a hash may make before its list is cut finer; it
-    changes no result.  Empty in, empty out.
+    changes no result.  ``short_copies``: the floor of ``min_chars`` holds for the edit join only, and exact
+    copies of any line go but for blank ones (ASCII white space or nothing).  Empty in, empty out.
     """
     k = max_edits
     rows = pick(docs, id=id_col, text=text_col, **{f"c{i}": c for i, c in enumerate(carry)})
     rows = rows.withColumn("rid", F.xxhash64("id", "text"))
-    lines = rows.select("id", "rid", F.posexplode(F.split(whole(), "\n")).alias("at", "line")).withColumn("size", F.char_length("line")).where(F.col("size") >= max(min_chars, k + 1))
+    lines = rows.select("id", "rid", F.posexplode(F.split(whole(), "\n")).alias("at", "line")).withColumn("size", F.char_length("line"))
+    joined = F.col("size") >= max(min_chars, k + 1)
+    lines = lines.where(joined | F.col("line").rlike(WORD)) if short_copies else lines.where(joined)
     digest, number = F.unhex(F.md5("line")), F.xxhash64("line")
     place = F.struct("id", "rid", "at")
     hashes = {f"h{i}": h for i, h in enumerate([*index_hashes(F.col("line"), F.col("size"), k), *probe_hashes(F.col("line"), F.col("size"), k)])}
+    if short_copies:
+        hashes = {x: F.when(joined, h) for x, h in hashes.items()}
     # A line's hashes follow from it: as keys they need no state of their own.
     different = lines.select(digest.alias("key"), number.alias("lid"), place.alias("place"), *[h.alias(x) for x, h in hashes.items()]).groupBy("key", "lid", *hashes).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
     of_index, of_probe = [*hashes][: k + 1], [*hashes][k + 1 :]
@@ -176,10 +182,10 @@ def line_dedup(docs: DataFrame, max_edits: int = 1, min_chars: int = 24, carry:
 
     def texts_of(lids: DataFrame) -> DataFrame:
         lids = cut(lids.distinct())
-        some = bit_filter(lines.select("line", number.alias("lid")), F.col("lid"), lids.select(F.col("lid").alias("k")), lids.count())
+        some = bit_filter(lines.where(joined).select("line", number.alias("lid")), F.col("lid"), lids.select(F.col("lid").alias("k")), lids.count())
         return some.join(lids, "lid", "left_semi").distinct()
 
-    index = different.select("lid", F.posexplode("index").alias("i", "h"))
+    index = different.select("lid", F.posexplode("index").alias("i", "h")).where("h IS NOT NULL")
     place_of = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(d).alias("shorter")) for d, i, _ in probe_places(k)])
     probe = different.select("lid", F.posexplode("probe").alias("p", "h")).where("h IS NOT NULL").select("lid", "h", F.get(place_of, F.col("p")).alias("p")).select("lid", "h", "p.i", "p.shorter")
     count = lambda rows, name: rows.groupBy("h").agg(F.count(F.lit(1)).alias(name))

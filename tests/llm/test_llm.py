@@ -143,6 +143,19 @@ def test_line_dedup(spark, edits, long_list):
     assert {r.doc_id: r.text for r in got} == want
 
 
+def test_exact_copies_of_short_lines(spark):
+    long = "a line of more than twenty-four characters"
+    docs = [(1, f"Short.\n\n{long}\nx"), (2, f"Short.\n\n{long}!\n \nShort"), (3, "y\n \nx\nShort.")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = lambda **more: {r.doc_id: r.text for r in line_dedup.line_dedup(df, **more).collect()}
+    assert got(short_copies=True) == {1: docs[0][1], 2: "\n \nShort", 3: "y\n "}
+    assert got() == {1: docs[0][1], 2: "Short.\n\n \nShort", 3: docs[2][1]}
+    import corpus_pipeline
+
+    piped = corpus_pipeline.drop_lines(spark, df.selectExpr("*", "'en' AS lang", "'s' AS source", "1L AS n_chars"), SF)
+    assert {r.doc_id: r.text for r in piped.collect()} == got(short_copies=True)
+
+
 def test_repetition_against_brute_force():
     rnd = random.Random(2)
     for _ in range(60):
