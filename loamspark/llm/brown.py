@@ -20,7 +20,8 @@ are proportional to c + 0.5, also that of a word never seen.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import ExitStack
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -29,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut, pick, release, slices
+from .common import LOWER, UPPER, cut, pick, release, slices, written
 
 #: The end token's key among words; no word is empty.
 END = b""
@@ -394,8 +395,8 @@ def transitions(table: np.ndarray) -> np.ndarray:
     return (table + 0.5) / (table.sum(1, keepdims=True) + 0.5 * len(table))
 
 
-def clustered(texts: DataFrame, counts: DataFrame, classes: int, exchange_words: int, held: int, sweeps: int, mix: float, min_count: int) -> tuple[Model, DataFrame]:
-    """A model that lacks its steps, and (word, c, g) of all training words outside the exchange, cut."""
+def clustered(texts: DataFrame, counts: DataFrame, classes: int, exchange_words: int, held: int, sweeps: int, mix: float, min_count: int, keep: Callable[[DataFrame], DataFrame] = cut) -> tuple[Model, DataFrame]:
+    """A model that lacks its steps, and (word, c, g) of all training words outside the exchange, as ``keep`` stores it."""
     total = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     n, v = total[0] or 0, total[1]
     grown = int(v ** (1 / 3))
@@ -410,7 +411,7 @@ def clustered(texts: DataFrame, counts: DataFrame, classes: int, exchange_words:
     table = np.zeros((g, g))
     np.add.at(table, (of[:, None].repeat(len(of), 1), of[None, :].repeat(len(of), 0)), pairs)
     sizes = np.bincount(of[:k], c[:k], g)
-    classed = cut(assigned(neighbours(texts, words[:k], of), transitions(table), sizes, min_count))
+    classed = keep(assigned(neighbours(texts, words[:k], of), transitions(table), sizes, min_count))
     per_class = classed.groupBy("g").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).toArrow().to_pylist()
     for x in per_class:
         sizes[x["g"]] += x["c"]
@@ -438,13 +439,20 @@ def lm_scores(docs: DataFrame, classes: int = 64, exchange_words: int = 1024, he
     all words are alike unseen.  ``classes`` and ``exchange_words`` are least numbers, which grow with
     the vocabulary.  Empty in, empty out.
     """
+    with ExitStack() as stack:
+        return cut(_lm_scores(docs, classes, exchange_words, held, sweeps, mix, id_col, text_col, min_count, lambda df: stack.enter_context(written(df))))
+
+
+def _lm_scores(docs: DataFrame, classes: int, exchange_words: int, held: int, sweeps: int, mix: float, id_col: str, text_col: str, min_count: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``keep`` stores, the result still reads."""
     rows = pick(docs, id=id_col, text=text_col).withColumn("held_out", held_out(F.col("id")))
     texts = rows.where(~F.col("held_out")).select("text")
-    model, classed = clustered(texts, cut(word_counts(texts)), classes, exchange_words, held, sweeps, mix, min_count)
+    model, classed = clustered(texts, cut(word_counts(texts)), classes, exchange_words, held, sweeps, mix, min_count, keep)
     release(docs.sparkSession)
-    codes = cut(coded(rows, model.words))
+    codes = keep(coded(rows, model.words))
     g = len(model.steps)
-    rest = cut(opened(codes, classed, g - 1))
+    rest = keep(opened(codes, classed, g - 1))
+    release(docs.sparkSession)
     train = lambda x: x.where(~F.col("held_out"))
     model = replace(model, words={}, steps=transitions(class_pairs(train(codes), train(rest), model.of, g)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
