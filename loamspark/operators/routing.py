@@ -43,7 +43,8 @@ def best_tours(dist: DataFrame, nodes: DataFrame | None = None, max_nodes: int =
 
 def widest_paths(edges: DataFrame, starts: DataFrame, max_steps: int = 1000) -> DataFrame:
     """edges (scenario, u, v, cap), both ways; starts (scenario, src) to (scenario, src, dst, width): the greatest
-    capacity that every road of some route has.  Relaxed until nothing widens.  [inferred semantics]"""
+    capacity that every road of some route has.  Relaxed until nothing widens; the bound ``max_steps`` fails
+    loudly.  [inferred semantics]"""
     roads = cut(edges.select("scenario", "u", "v", "cap").unionByName(edges.select("scenario", F.col("v").alias("u"), F.col("u").alias("v"), "cap")).groupBy("scenario", "u", "v").agg(F.max("cap").alias("cap")))
     best = starts.select("scenario", "src", F.col("src").alias("dst"), F.lit(2**31 - 1).alias("width"))
     seen = None
@@ -54,6 +55,8 @@ def widest_paths(edges: DataFrame, starts: DataFrame, max_steps: int = 1000) ->
         if mark == seen:
             break
         seen = mark
+    else:
+        raise ValueError(f"routes still widen after {max_steps} steps")
     return best.where("dst != src")
 
 

@@ -119,3 +119,11 @@ def test_streams(spark, tmp_path):
     assert spark.sql("SELECT length FROM lengths").collect()[-1].length == 0
     events = spark.createDataFrame([("2020-01-01 00:00:01",), ("2020-01-01 00:00:59",), ("2020-01-01 00:01:00",)], "ts string")
     assert sorted(r.n for r in ticks.ticks(events).collect()) == [1, 2]
+
+
+def test_widest_paths_fail_at_the_bound(spark):
+    edges = spark.createDataFrame([(1, i, i + 1, 9) for i in range(5)], "scenario int, u int, v int, cap int")
+    starts = spark.createDataFrame([(1, 0)], "scenario int, src int")
+    with pytest.raises(ValueError):
+        routing.widest_paths(edges, starts, max_steps=3).collect()
+    assert routing.widest_paths(edges, starts, max_steps=7).count() == 5
