@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import gc
 import math
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -19,9 +18,11 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import shared_dir
+
 #: A word is a longest run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -50,19 +51,17 @@ def whole(text: str = "text") -> Column:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage at a checkpoint in the folder of ``spark.checkpoint.dir``.
-
-    Only where that is unset (tests on one machine) a folder of our own is used.
-    """
+    """Cuts the lineage at a checkpoint in the folder of ``spark.checkpoint.dir``; see :func:`shared_dir`."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return sc.getCheckpointDir()
+def cut_with(df: DataFrame, **facts: Column) -> tuple[DataFrame, dict]:
+    """cut(df), and aggregates over its rows from the same pass.  A task that runs twice may count twice, so
+    they are fit for sizes and shares only."""
+    seen = Observation()
+    out = cut(df.observe(seen, *[c.alias(k) for k, c in facts.items()]))
+    return out, {k: v or 0 for k, v in seen.get.items()}
 
 
 def release(spark: SparkSession) -> None:
@@ -97,20 +96,26 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = 1 << 22) ->
                 yield b.slice(start, end - start)
 
 
-def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
-    """Left join of rows to their group's row, safe for groups of any size.
+def sizes(size: str) -> dict[str, Column]:
+    return {"total": F.sum(size), "largest": F.max(size)}
+
+
+def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, facts: dict | None = None, how: str = "left") -> DataFrame:
+    """Join of rows to their group's row, safe for groups of any size.
 
     ``size`` is the group's number of rows.  Groups with 1/HOT_SHARE of all these rows or more number
     HOT_SHARE at most, so they may be broadcast and their rows never meet in one task; all other groups
     are small enough to be dealt out by key.  Both inputs are read twice and should be cheap to read.
+    ``facts``: :func:`sizes` of the groups, if :func:`cut_with` has gathered them.
     """
-    total, largest = groups.agg(F.sum(size), F.max(size)).first()
+    facts = facts or groups.agg(*[c.alias(k) for k, c in sizes(size).items()]).first().asDict()
+    total, largest = facts["total"], facts["largest"]
     if not total or largest * HOT_SHARE < total:
-        return rows.join(groups, keys, "left")
+        return rows.join(groups, keys, how)
     is_hot = F.col(size) * HOT_SHARE >= F.lit(total)
     hot, cold = groups.where(is_hot), groups.where(~is_hot)
     marked = rows.join(F.broadcast(hot), keys, "left")
-    rest = marked.where(F.col(size).isNull()).select(*rows.columns).join(cold, keys, "left")
+    rest = marked.where(F.col(size).isNull()).select(*rows.columns).join(cold, keys, how)
     return marked.where(F.col(size).isNotNull()).unionByName(rest)
 
 

@@ -29,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, bit_filter, cut, pick, release, slices, written
+from .common import HOT_SHARE, attach, bit_filter, cut, cut_with, pick, release, sizes, slices, written
 from .components import components
 
 CELL_BITS, BLOCK_BITS, SALTS = 20, 14, 64
 #: Places of a set's order by which it may be probed beyond the least, and tokens that must then be shared.
 MORE = 3
+#: Pairs of one hot key that share a copy of its tokens.
+SPREAD = 1024
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 LOWER_CASE = np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64)
@@ -201,9 +203,26 @@ def _overlaps(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, size_x long, size_y long, both long")
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    full = pairs.join(sets.withColumnsRenamed({"sid": "a", "tokens": "x"}), "a").join(sets.withColumnsRenamed({"sid": "b", "tokens": "y"}), "b")
-    return _overlaps(full).where(F.col("both") * 100 >= (F.col("size_x") + F.col("size_y") - F.col("both")) * percent).select("a", "b")
+def _joined(pairs: DataFrame, xs: DataFrame, ys: DataFrame) -> DataFrame:
+    """(a, b) to (a, b, x, y) by xs (a, x) and ys (b, y).  A key with a large share of all pairs is salted: its
+    tokens are repeated once for each SPREAD of its pairs, so neither meets in one task."""
+    ends = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(side).alias("key")) for side in ("a", "b")]))
+    ends, facts = cut_with(pairs.select(ends.alias("end")).groupBy("end.side", "end.key").agg(F.count(F.lit(1)).alias("n")), **sizes("n"))
+    if facts["largest"] * HOT_SHARE < facts["total"]:
+        return pairs.join(xs, "a").join(ys, "b")
+    for side, other in (("a", "b"), ("b", "a")):
+        mine = ends.where(F.col("side") == side).select(F.col("key").alias(side), "n", F.ceil(F.col("n") / SPREAD).alias("copies"))
+        pairs = attach(pairs, mine, [side], "n", facts).withColumn(f"salt_{side}", F.pmod(F.xxhash64(other), F.col("copies"))).drop("n", "copies")
+        many = (xs if side == "a" else ys).join(mine.drop("n"), side).withColumn(f"salt_{side}", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).drop("copies")
+        xs, ys = (many, ys) if side == "a" else (xs, many)
+    return pairs.join(xs, ["a", "salt_a"]).join(ys, ["b", "salt_b"])
+
+
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, int]:
+    """The pairs that link, cut, and how many."""
+    both = _overlaps(_joined(pairs, sets.withColumnsRenamed({"sid": "a", "tokens": "x"}), sets.withColumnsRenamed({"sid": "b", "tokens": "y"})))
+    links, facts = cut_with(both.where(F.col("both") * 100 >= (F.col("size_x") + F.col("size_y") - F.col("both")) * percent).select("a", "b"), n=F.count(F.lit(1)))
+    return links, facts["n"]
 
 
 def _union(groups: DataFrame) -> DataFrame:
@@ -230,68 +249,69 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, members: int
     order = spark.sparkContext.broadcast(Order(_sums(read.where("block IS NOT NULL").select("block", "salt", "data")), n, percent))
     place_of = read.where("block IS NULL").select("id", "size", "sid")
     classes = cut(place_of.where("size > 0").groupBy("sid").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
+    counted = {"rows": F.count(F.lit(1))}
 
-    # Lists of first tokens that two different sets share, one of them as an index entry.
+    # Lists of first tokens that two different sets share, one of them as an index entry; a list's head is a set
+    # in which the token comes earliest.
     with written(_entries(rows, order)) as entries:
-        lists = entries.groupBy("token").agg(F.min("sid").alias("_low"), F.max("sid").alias("_high"), F.max("indexed").alias("_some"), F.count(F.lit(1)).alias("n"))
-        lists = cut(lists.where("_low != _high AND _some").select("token", "n"))
-        listed = cut(bit_filter(entries, F.xxhash64("token"), lists.select(F.xxhash64("token").alias("k")), lists.count()).join(lists.select("token"), "token", "left_semi"))
-    heads = listed.groupBy("token").agg(F.min(F.struct("place", "sid", "size")).alias("head"), F.count(F.lit(1)).alias("n"))
-    listed = cut(attach(listed, cut(heads), ["token"], "n").drop("n"))
+        lists = entries.groupBy("token").agg(
+            F.min("sid").alias("_low"), F.max("sid").alias("_high"), F.max("indexed").alias("_some"),
+            F.min_by("sid", "place").alias("head"), F.min_by("size", "place").alias("head_size"), F.count(F.lit(1)).alias("n"),
+        )
+        lists, facts = cut_with(lists.where("_low != _high AND _some").select("token", "head", "head_size", "n"), **sizes("n"), **counted)
+        some = bit_filter(entries, F.xxhash64("token"), lists.select(F.xxhash64("token").alias("k")), facts["rows"])
+        listed = cut(attach(some, lists, ["token"], "n", facts, "inner").drop("n"))
+    order.unpersist()
 
     def sets_of(sids: DataFrame) -> DataFrame:
-        ids = cut(sids.distinct().join(classes, "sid").select("sid", F.xxhash64("least").alias("k")))
-        near = bit_filter(rows, F.xxhash64("id"), ids.select("k"), ids.count())
+        ids, facts = cut_with(sids.distinct().join(classes, "sid").select("sid", F.xxhash64("least").alias("k")), **counted)
+        near = bit_filter(rows, F.xxhash64("id"), ids.select("k"), facts["rows"])
         return cut(_sets(near, n).join(ids, "sid", "left_semi").groupBy("sid").agg(F.first("tokens").alias("tokens")))
 
     release(spark)
     # Stars: every set against the one in whose order the shared token comes first.
     fit = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
-    stars = listed.where((F.col("sid") != F.col("head.sid")) & fit(F.col("size"), F.col("head.size")))
     enough = F.least(F.lit(MORE), F.ceil(F.col("size") * percent / 100 - 1e-9))  # tokens that sets of such sizes share at least
-    stars = stars.groupBy(F.col("head.sid").alias("a"), F.col("sid").alias("b"), "size").agg(F.count(F.lit(1)).alias("n"))
+    stars = listed.where((F.col("sid") != F.col("head")) & fit(F.col("size"), F.col("head_size")))
+    stars = stars.groupBy(F.col("head").alias("a"), F.col("sid").alias("b"), "size").agg(F.count(F.lit(1)).alias("n"))
     stars = cut(stars.where(F.col("n") >= enough).select("a", "b"))
-    stars = cut(_links(stars, sets_of(stars.select(F.explode(F.array("a", "b")).alias("sid"))), percent))
+    stars, _ = _links(stars, sets_of(stars.select(F.explode(F.array("a", "b")).alias("sid"))), percent)
     comps = cut(components(stars))
 
     release(spark)
     # The matrix: which groups' index entries hold a token, with the most favourable place and the sizes.
-    sizes = cut(comps.groupBy("component").agg(F.count(F.lit(1)).alias("n")))
-    labels = attach(comps, sizes, ["component"], "n").select(F.col("node").alias("sid"), "component", F.xxhash64("component", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / members))).alias("gid"))
-    labels = cut(labels)
+    per_comp, facts = cut_with(comps.groupBy("component").agg(F.count(F.lit(1)).alias("n")), **sizes("n"))
+    labels = attach(comps, per_comp, ["component"], "n", facts).select(F.col("node").alias("sid"), "component", F.xxhash64("component", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / members))).alias("gid"))
     lone = F.col("sid")
-    placed = listed.drop("head").join(labels, "sid", "left").withColumns({"component": F.coalesce("component", lone), "gid": F.coalesce("gid", F.xxhash64(lone, F.lit(0)))})
+    placed = listed.drop("head", "head_size").join(labels, "sid", "left").withColumns({"component": F.coalesce("component", lone), "gid": F.coalesce("gid", F.xxhash64(lone, F.lit(0)))})
     placed = cut(placed)
-    mixed = placed.groupBy("token").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count(F.lit(1)).alias("n")).where("_a != _b").select("token", "n")
-    matrix = placed.where("indexed").join(mixed, "token").groupBy("token", "gid", "component").agg(F.min("place").alias("first"), F.min("size").alias("low"), F.max("size").alias("high"))
+    mixed = placed.groupBy("token").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a != _b").select("token")
+    matrix = placed.where("indexed").join(mixed, "token", "left_semi").groupBy("token", "gid", "component").agg(F.min("place").alias("first"), F.min("size").alias("low"), F.max("size").alias("high"))
     matrix = matrix.withColumnRenamed("component", "other")
     room = 1 + F.least(F.col("high") - F.col("first") - 1, F.col("size") - F.col("place") - 1)
     shortest = F.greatest(F.col("low"), F.ceil(F.col("size") * percent / 100 - 1e-9))
     probes = placed.drop("gid").join(matrix, "token").where((F.col("component") != F.col("other")) & (F.col("low") <= F.col("size")) & (F.col("high") * 100 >= F.col("size") * percent))
     probes = probes.groupBy(F.col("sid").alias("a"), F.col("gid").alias("b"), "size").agg(F.count(F.lit(1)).alias("n"), F.max(room >= least_overlap(F.col("size"), shortest, percent)).alias("roomy"))
-    probes = cut(probes.where(F.col("roomy") & (F.col("n") >= enough)).select("a", "b"))
-
-    release(spark)
-    # Bounds by the groups' unions, then the members of the groups that qualify.
-    inside = placed.select("sid", "gid").distinct().join(probes.select(F.col("b").alias("gid")).distinct(), "gid", "left_semi")
-    inside = cut(inside)
-    sets = sets_of(probes.select(F.col("a").alias("sid")).unionByName(inside.select("sid")))
-    groups = inside.join(sets, "sid")
-    release(spark)
-    unions = cut(_union(groups.select("gid", "tokens")).withColumnRenamed("gid", "b"))
-    bounded = probes.join(sets.withColumnsRenamed({"sid": "a", "tokens": "x"}), "a").join(unions, "b")
-    opened = cut(_overlaps(bounded).where(F.col("both") * 100 >= F.col("size_x") * percent).select("a", F.col("b").alias("gid")))
-    release(spark)
-    length = lambda tokens: F.octet_length(tokens)
-    pairs = opened.join(groups.withColumnRenamed("sid", "b"), "gid").join(sets.withColumnsRenamed({"sid": "a", "tokens": "x"}), "a").withColumnRenamed("tokens", "y").where(fit(length("x"), length("y")))
-    more = cut(_overlaps(pairs).where(F.col("both") * 100 >= (F.col("size_x") + F.col("size_y") - F.col("both")) * percent).select("a", "b"))
-
+    probes, facts = cut_with(probes.where(F.col("roomy") & (F.col("n") >= enough)).select("a", "b"), **counted)
     release(spark)
-    final = components(stars.unionByName(more)) if more.head() else comps
-    named = classes.join(final.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    named = cut(named)
+    final = comps
+    if facts["rows"]:
+        # Bounds by the groups' unions, then the members of the groups that qualify.
+        inside = placed.select("sid", "gid", "size").distinct().join(probes.select(F.col("b").alias("gid")).distinct(), "gid", "left_semi")
+        inside = cut(inside)
+        sets = sets_of(probes.select(F.col("a").alias("sid")).unionByName(inside.select("sid")))
+        unions = cut(_union(inside.select("sid", "gid").join(sets, "sid").select("gid", "tokens")).withColumnRenamed("gid", "b"))
+        release(spark)
+        opened = _overlaps(_joined(probes, sets.withColumnsRenamed({"sid": "a", "tokens": "x"}), unions)).where(F.col("both") * 100 >= F.col("size_x") * percent)
+        pairs = opened.select("a", F.col("b").alias("gid"), F.col("size_x")).join(inside.withColumnRenamed("sid", "b"), "gid").where(fit(F.col("size_x"), F.col("size"))).select("a", "b")
+        more, found = _links(cut(pairs), sets, percent)
+        release(spark)
+        if found:
+            # Components of step 3 are stars already: only what the new links join has to move.
+            final = components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    named = cut(classes.join(final.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid")))
+    smallest, facts = cut_with(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("m")), **sizes("m"))
+    per_set, facts = cut_with(attach(named, smallest, ["component"], "m", facts).select("sid", "n", "component_id"), **sizes("n"))
     release(spark)
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("m"))
-    per_set = cut(attach(named, cut(smallest), ["component"], "m").select("sid", "n", "component_id"))
-    out = attach(place_of, per_set, ["sid"], "n")
+    out = attach(place_of, per_set, ["sid"], "n", facts)
     return out.select(F.col("id").alias(id_col), F.col("size").cast("long").alias("n_shingles"), F.when(F.col("size") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
