@@ -71,6 +71,11 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @contextmanager
 def written(df: DataFrame) -> Iterator[DataFrame]:
     """df as a table in the checkpoints' folder, more compact than a checkpoint; deleted at the end, so
@@ -81,8 +86,7 @@ def written(df: DataFrame) -> Iterator[DataFrame]:
     try:
         yield spark.read.schema(df.schema).parquet(path)
     finally:
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        delete(spark, path)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
@@ -141,10 +145,16 @@ def bit_filter(rows: DataFrame, key: Column, keys: DataFrame, n_keys: int) -> Da
     return _flagged(rows, key, keys, n_keys).where("_maybe").drop("_maybe")
 
 
-def drop_ids(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
-    """Rows whose id isn't among ``ids`` (its one column, cut); only rows that a bitmap can't clear are shuffled."""
-    bad = ids.toDF("_bad").distinct()
-    flagged = _flagged(rows, F.xxhash64(id_col), bad.select(F.xxhash64("_bad").alias("k")), ids.count())
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What the rows repeated under one id with one text have in common, and no others."""
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"))
+
+
+def drop_keys(rows: DataFrame, key: Column, keys: DataFrame, n_keys: int) -> DataFrame:
+    """Rows whose key isn't among ``keys``, a table of that one column without repeats, cut; only rows that a
+    bitmap can't clear are shuffled."""
+    bad = keys.toDF("_bad")
+    flagged = _flagged(rows, F.xxhash64(key), bad.select(F.xxhash64("_bad").alias("k")), n_keys)
     clear = flagged.where(~F.col("_maybe"))
-    rest = flagged.where("_maybe").join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
-    return clear.unionByName(rest).select(*rows.columns)
+    rest = flagged.where("_maybe").withColumn("_key", key).join(bad, F.col("_key").eqNullSafe(F.col("_bad")), "left_anti")
+    return clear.select(*rows.columns).unionByName(rest.select(*rows.columns))

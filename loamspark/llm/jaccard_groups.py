@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, attach, bit_filter, cut, cut_with, pick, release, sizes, slices, written
+from .common import HOT_SHARE, attach, bit_filter, cut, cut_with, drop_keys, pick, release, row_key, sizes, slices, written
 from .components import components
 
 CELL_BITS, BLOCK_BITS, SALTS = 20, 14, 64
@@ -133,14 +133,14 @@ def _sums(sketches: DataFrame) -> np.ndarray:
 
 
 def _read(rows: DataFrame, n: int) -> DataFrame:
-    """id, size, sid of every row; and every task's sketch, as rows with a block number."""
+    """id, text_hash, size, sid of every row (id, text, text_hash); and every task's sketch, as rows with a block number."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         cells = np.zeros(1 << CELL_BITS, np.uint32)
-        names = ["id", "size", "sid", "block", "salt", "data"]
+        names = ["id", "text_hash", "size", "sid", "block", "salt", "data"]
         id_type = None
         for b in slices(batches, 1):
             id_type = b.column(0).type
@@ -148,14 +148,14 @@ def _read(rows: DataFrame, n: int) -> DataFrame:
             at = np.concatenate(sets) & np.uint64((1 << CELL_BITS) - 1)
             cells += np.bincount(at.astype(np.int64), minlength=len(cells)).astype(np.uint32)
             none = lambda t: pa.nulls(b.num_rows, t)  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, sets)), pa.int32()), pa.array(list(map(set_id, sets)), pa.int64()), none(pa.int32()), none(pa.int32()), none(pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(list(map(len, sets)), pa.int32()), pa.array(list(map(set_id, sets)), pa.int64()), none(pa.int32()), none(pa.int32()), none(pa.binary())], names=names)
         if id_type is not None:
             k, step = 1 << (CELL_BITS - BLOCK_BITS), 1 << BLOCK_BITS
             data = [zlib.compress(cells[i * step : (i + 1) * step].tobytes(), 1) for i in range(k)]
             salt = TaskContext.get().partitionId() % SALTS
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, id_type), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array([salt] * k, pa.int32()), pa.array(data, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array([salt] * k, pa.int32()), pa.array(data, pa.binary())], names=names)
 
-    return rows.mapInArrow(run, f"id {kind}, size int, sid long, block int, salt int, data binary")
+    return rows.mapInArrow(run, f"id {kind}, text_hash long, size int, sid long, block int, salt int, data binary")
 
 
 def _entries(rows: DataFrame, order) -> DataFrame:
@@ -235,19 +235,21 @@ def _union(groups: DataFrame) -> DataFrame:
     return groups.groupBy("gid").applyInPandas(union, "gid long, y binary")
 
 
-def near_components(docs: DataFrame, n: int = 5, percent: int = 80, members: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_components(docs: DataFrame, n: int = 5, percent: int = 80, members: int = 256, id_col: str = "doc_id", text_col: str = "text", keys: bool = False) -> DataFrame:
     """One row per row: id, n_shingles, component_id (the smallest id reachable by links, itself included).
 
     Texts are lower-cased (A-Z).  Two texts link when 100 * |both| >= percent * |either| over their sets
     of n-grams.  Null texts and texts without words have no set and no links.  Rows repeated under one
-    id are like copies.  A null id is reachable but never the smallest, unless all are null.  Empty in,
-    empty out.
+    id are like copies, and each has its row.  A null id is reachable but never the smallest, unless all
+    are null.  Texts of any length count whole.  Other columns are left out, whatever their names.
+    ``keys`` adds text_hash (xxhash64 of the text) and component, one number for each component, null for
+    texts without words: unlike ids, it isn't shared by different components.  Empty in, empty out.
     """
     spark = docs.sparkSession
-    rows = pick(docs, id=id_col, text=text_col)
+    rows = pick(docs, id=id_col, text=text_col).withColumn("text_hash", F.xxhash64("text"))
     read = cut(_read(rows, n))
     order = spark.sparkContext.broadcast(Order(_sums(read.where("block IS NOT NULL").select("block", "salt", "data")), n, percent))
-    place_of = read.where("block IS NULL").select("id", "size", "sid")
+    place_of = read.where("block IS NULL").select("id", "text_hash", "size", "sid")
     classes = cut(place_of.where("size > 0").groupBy("sid").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
     counted = {"rows": F.count(F.lit(1))}
 
@@ -311,7 +313,33 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, members: int
             final = components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = cut(classes.join(final.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid")))
     smallest, facts = cut_with(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("m")), **sizes("m"))
-    per_set, facts = cut_with(attach(named, smallest, ["component"], "m", facts).select("sid", "n", "component_id"), **sizes("n"))
+    per_set, facts = cut_with(attach(named, smallest, ["component"], "m", facts).select("sid", "n", "component", "component_id"), **sizes("n"))
     release(spark)
     out = attach(place_of, per_set, ["sid"], "n", facts)
-    return out.select(F.col("id").alias(id_col), F.col("size").cast("long").alias("n_shingles"), F.when(F.col("size") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    more = ["text_hash", "component"] if keys else []
+    return out.select(F.col("id").alias(id_col), F.col("size").cast("long").alias("n_shingles"), F.when(F.col("size") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), *more)
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, of which one of each component stays: that with the smallest id (null is the
+    largest), among its texts the one with the smallest hash, among its equal rows one.
+
+    Rows without words all stay.  A row goes only if its own text is linked to that of a row that stays, whatever
+    other rows share its id.  Of rows that differ in columns besides id and text, the smallest stays.
+    """
+    rows = near_components(docs, n, percent, id_col=id_col, text_col=text_col, keys=True).where("n_shingles > 0").withColumnRenamed(id_col, "id")
+    counted = {"rows": F.count(F.lit(1))}
+    each = cut(rows.groupBy("component", "id", "text_hash").agg(F.count(F.lit(1)).alias("n")))
+    first = each.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_hash")).alias("x")).select("component", F.struct("x.id", "x.text_hash").alias("first"))
+    marked = each.select("component", F.struct("id", "text_hash").alias("key"), "n").join(first, "component")
+    # All but lone keepers are taken out; keepers with repeats come back as one row.
+    out, facts = cut_with(marked.where((F.col("key") != F.col("first")) | (F.col("n") > 1)).select("key", (F.col("key") == F.col("first")).alias("again")), **counted, again=F.count_if(F.col("again")))
+    kept = drop_keys(docs, row_key(id_col, text_col), out.select("key"), facts["rows"])
+    if not facts["again"]:
+        return kept
+    key, repeated = row_key(id_col, text_col), out.where("again").select(F.col("key").alias("_again"))
+    some = bit_filter(docs, F.xxhash64(key), repeated.select(F.xxhash64("_again").alias("k")), facts["again"])
+    some = some.withColumn("_key", key)
+    smallest = some.groupBy("_key").agg(F.min(F.struct(*[F.struct(F.col(c).alias(c)) for c in docs.columns])).alias("_row"))
+    back = smallest.join(repeated, F.col("_key").eqNullSafe(F.col("_again")), "left_semi").select(*[F.col(f"_row.{x}.`{c}`").alias(c) for x, c in zip([f"col{i + 1}" for i in range(len(docs.columns))], docs.columns)])
+    return kept.unionByName(back)

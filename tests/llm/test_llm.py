@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loamspark.llm import bpe, brown, fst_count, html_extract, jaccard_groups, line_dedup, mixing, queries, quality_rff, repetition
-from loamspark.llm.common import bit_filter, drop_ids
+from loamspark.llm.common import bit_filter, drop_keys
 from loamspark.llm.components import components
 from loamspark.llm.exact_dedup import exact_dedup
 
@@ -267,7 +267,7 @@ def test_bitmaps_lose_nothing(spark):
     some = spark.range(0, 5000, 7)
     kept = bit_filter(rows, F.xxhash64("id"), some.select(F.xxhash64("id").alias("k")), 715)
     assert kept.join(some, "id").count() == 715 and kept.count() < 1500
-    assert drop_ids(rows, "id", some).count() == 5000 - 715
+    assert drop_keys(rows, F.col("id"), some, 715).count() == 5000 - 715
 
 
 def test_pipeline_stages(spark):
@@ -279,3 +279,56 @@ def test_pipeline_stages(spark):
     out = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     assert len(out) == docs.count() and all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() and r.n_tokens == len(r.ids) for r in out)
+
+
+def docs_of(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def text_of(start, n=60):
+    return " ".join(f"w{start + i}" for i in range(n))
+
+
+def test_near_copy_stage_keeps_clean_rows(spark):
+    import corpus_pipeline
+
+    a, b, c = text_of(0), text_of(1000), text_of(2000)
+    near = a.replace("w59", "x")
+    rows = [(1, a, "s"), (2, near, "s"), (2, b, "s"), (None, near, "s"), (None, c, "s"), (3, "", "s"), (4, None, "s"), (5, "", "s"), (7, text_of(3000), "s"), (7, text_of(3000), "s"), (None, text_of(4000), "s"), (None, text_of(4000), "s")]
+    got = corpus_pipeline.drop_near_copies(spark, docs_of(spark, rows), SF)
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    want = [(1, a), (2, b), (None, c), (3, ""), (4, None), (5, ""), (7, text_of(3000)), (None, text_of(4000))]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, want))
+    assert corpus_pipeline.drop_near_copies(spark, docs_of(spark, []), SF).count() == 0
+
+
+def test_mix_stage_repeats_rows_alike(spark):
+    import corpus_pipeline
+
+    rows = [(1, text_of(0), "a"), (1, text_of(0), "a"), (1, text_of(9), "a"), (None, text_of(1), "a"), (None, text_of(2), "b"), (None, None, "b"), (2, "", "b"), (3, text_of(3), None)]
+    docs = docs_of(spark, rows)
+    taken = {}
+    for r in mixing.mix(docs, text_hash=True).collect():
+        taken.setdefault((r.doc_id, r.text_hash), []).append((r.taken, r.size))
+    assert sum(map(len, taken.values())) == len(rows)
+    got = corpus_pipeline.mix_sources(spark, docs, SF)
+    assert got.columns == docs.columns
+    found = {}
+    for r in got.withColumn("h", F.xxhash64("text")).collect():
+        found[r.doc_id, r.h] = found.get((r.doc_id, r.h), 0) + 1
+    want = {k: len(v) * int(sum(t for t, _ in v) / sum(s for _, s in v) + 0.5) for k, v in taken.items() if sum(t for t, _ in v)}
+    assert found == {k: n for k, n in want.items() if n}
+    assert corpus_pipeline.mix_sources(spark, docs_of(spark, []), SF).count() == 0
+
+
+def test_mix_follows_its_schedule(spark, monkeypatch):
+    rows = [(i, text_of(i, 300), "abc"[i % 3]) for i in range(60)] + [(99, None, "a"), (99, None, "a")]
+    docs = docs_of(spark, rows)
+    got = mixing.mix(docs, block=16).collect()
+    assert len(got) == 62 and all(r.taken <= 2 * r.size and (r.first_slot is None) == (r.taken == 0) for r in got)
+    for size in {r.source_size for r in got}:
+        mine = [r for r in got if r.source_size == size]
+        assert abs(sum(r.taken for r in mine) - sum({r.target for r in mine})) <= 1
+    real = mixing.schedule
+    monkeypatch.setattr(mixing, "schedule", lambda sources, quotas: real(sources, quotas).where("false"))
+    assert all(r.taken == 0 for r in mixing.mix(docs, block=16).collect())
