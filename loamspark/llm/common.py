@@ -145,6 +145,12 @@ def bit_filter(rows: DataFrame, key: Column, keys: DataFrame, n_keys: int) -> Da
     return _flagged(rows, key, keys, n_keys).where("_maybe").drop("_maybe")
 
 
+def bit_split(rows: DataFrame, key: Column, keys: DataFrame, n_keys: int) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key isn't among ``keys``, as a bitmap can tell, and the rest; rows are read once for each."""
+    flagged = _flagged(rows, key, keys, n_keys)
+    return flagged.where(~F.col("_maybe")).drop("_maybe"), flagged.where("_maybe").drop("_maybe")
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     """What the rows repeated under one id with one text have in common, and no others."""
     return F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"))

@@ -14,7 +14,7 @@ with ``short_copies`` go if the same line begins earlier and they are not blank.
 3. Pairs that meet are compared by their texts: pieces that must be there, a sieve of character classes,
    then a bit-parallel automaton over the band of 2 * max_edits + 1 diagonals, one mask for each number
    of edits.
-4. Documents lose the lines found; each document's text is shuffled once.
+4. Documents lose the lines found; only texts that a bitmap can't clear of such lines are shuffled, once.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, attach, bit_filter, cut, pick, whole
+from .common import WORD, attach, bit_filter, bit_split, cut, cut_with, pick, sizes, whole
 
 #: Classes of characters for the sieve; one edit changes the number of characters in a class by one at most.
 CLASSES = ("aeiou", "lnrst", "bcdfghjkmpqvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " .,;:!?-")
@@ -159,7 +159,8 @@ def line_dedup(docs: DataFrame, max_edits: int = 1, min_chars: int = 24, carry:
     empty text has one, empty.  Where all lines go the text is empty.  Of ids null is the smallest.
     Rows repeated with id and text are one document: all of them keep its lines.  Texts under one id
     follow each other by a hash.  Chains drop from their second line on: what a line is near to need
-    not be kept itself.  ``long_list``: pairs that a hash may make before its list is cut finer; it
+    not be kept itself.  Lines and texts of any length are compared whole.  Columns not in ``carry`` are
+    left out, whatever their names.  ``long_list``: pairs that a hash may make before its list is cut finer; it
     changes no result.  ``short_copies``: the floor of ``min_chars`` holds for the edit join only, and exact
     copies of any line go but for blank ones (ASCII white space or nothing).  Empty in, empty out.
     """
@@ -179,10 +180,11 @@ def line_dedup(docs: DataFrame, max_edits: int = 1, min_chars: int = 24, carry:
     of_index, of_probe = [*hashes][: k + 1], [*hashes][k + 1 :]
     different = different.select("key", "lid", "first", "n", F.array(*of_index).alias("index"), F.array(*of_probe).alias("probe"))
     different = cut(different)
+    counted = {"rows": F.count(F.lit(1))}
 
     def texts_of(lids: DataFrame) -> DataFrame:
-        lids = cut(lids.distinct())
-        some = bit_filter(lines.where(joined).select("line", number.alias("lid")), F.col("lid"), lids.select(F.col("lid").alias("k")), lids.count())
+        lids, facts = cut_with(lids.distinct(), **counted)
+        some = bit_filter(lines.where(joined).select("line", number.alias("lid")), F.col("lid"), lids.select(F.col("lid").alias("k")), facts["rows"])
         return some.join(lids, "lid", "left_semi").distinct()
 
     index = different.select("lid", F.posexplode("index").alias("i", "h")).where("h IS NOT NULL")
@@ -208,13 +210,16 @@ def line_dedup(docs: DataFrame, max_edits: int = 1, min_chars: int = 24, carry:
     near = near.select("key_a", "key_b", "first_a", "first_b", close.alias("close")).where("close")
     late = near.select(F.when(F.col("first_a") < F.col("first_b"), F.col("key_b")).otherwise(F.col("key_a")).alias("key")).distinct().withColumn("late", F.lit(True))
 
-    hit = cut(different.select("key", "first", "n").join(late, "key", "left").where("n > 1 OR late"))
+    hit, facts = cut_with(different.select("key", "first", "n").join(late, "key", "left").where("n > 1 OR late"), **sizes("n"), **counted)
     placed = lines.select(digest.alias("key"), place.alias("place"))
-    placed = cut(bit_filter(placed, F.xxhash64("key"), hit.select(F.xxhash64("key").alias("k")), hit.count()))
-    gone = attach(placed, hit, ["key"], "n").where("n IS NOT NULL AND (late OR place != first)")
+    placed = cut(bit_filter(placed, F.xxhash64("key"), hit.select(F.xxhash64("key").alias("k")), facts["rows"]))
+    gone = attach(placed, hit, ["key"], "n", facts, "inner").where("late OR place != first")
     gone = gone.select(F.col("place.rid").alias("rid"), F.col("place.id").alias("_id"), F.col("place.at").alias("at")).groupBy("rid", "_id").agg(F.collect_set("at").alias("gone"))
+    gone, facts = cut_with(gone, **counted)
 
-    whole_docs = rows.join(gone, (rows["rid"] == gone["rid"]) & rows["id"].eqNullSafe(gone["_id"]), "left")
+    clear, rest = bit_split(rows, F.col("rid"), gone.select(F.col("rid").alias("k")), facts["rows"])
+    rest = rest.join(gone.withColumnRenamed("rid", "_rid"), (F.col("rid") == F.col("_rid")) & F.col("id").eqNullSafe(F.col("_id")), "left").drop("_rid", "_id")
+    whole_docs = clear.withColumn("gone", F.lit(None).cast("array<int>")).unionByName(rest)
     parts = F.split("text", "\n")
     stays = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
     return whole_docs.select(
@@ -229,8 +234,8 @@ def line_dedup(docs: DataFrame, max_edits: int = 1, min_chars: int = 24, carry:
 #: One edit at most: equal up to some place and, past a character of one or of both, from there on.
 ORACLE = """
 WITH l AS (SELECT doc_id, i - 1 AS place, line FROM (SELECT doc_id, unnest(p) AS line, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))),
-d AS (SELECT line, length(line) AS n, min((doc_id, place)) AS first FROM l WHERE length(line) >= 24 GROUP BY line),
-late AS (SELECT DISTINCT CASE WHEN a.first < b.first THEN b.line ELSE a.line END AS line FROM d a JOIN d b ON a.line < b.line AND b.n BETWEEN a.n - 1 AND a.n + 1
+d AS (SELECT line, length(line) AS n, min((doc_id, place)) AS first FROM l WHERE length(line) >= 24 OR regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY line),
+late AS (SELECT DISTINCT CASE WHEN a.first < b.first THEN b.line ELSE a.line END AS line FROM d a JOIN d b ON a.n >= 24 AND b.n >= 24 AND a.line < b.line AND b.n BETWEEN a.n - 1 AND a.n + 1
   AND (left(a.line, (least(a.n, b.n) // 2)::BIGINT) = left(b.line, (least(a.n, b.n) // 2)::BIGINT) OR right(a.line, ((least(a.n, b.n) + 1) // 2)::BIGINT) = right(b.line, ((least(a.n, b.n) + 1) // 2)::BIGINT))
   AND list_aggregate(list_transform(generate_series(0, a.n), lambda i: CASE WHEN left(a.line, i) = left(b.line, i) AND (substr(a.line, i + 2) = substr(b.line, i + 2) OR substr(a.line, i + 2) = substr(b.line, i + 1) OR substr(a.line, i + 1) = substr(b.line, i + 2)) THEN 1 ELSE 0 END), 'max') = 1),
 k AS (SELECT l.doc_id, l.place, l.line, d.line IS NOT NULL AND ((l.doc_id, l.place) <> d.first OR late.line IS NOT NULL) AS gone FROM l LEFT JOIN d ON l.line = d.line LEFT JOIN late ON l.line = late.line)

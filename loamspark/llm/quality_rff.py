@@ -2,9 +2,10 @@
 
 1. Each whole text becomes a row of statistics (:data:`STATISTICS`), in one pass, cut.
 2. Labelled rows are standardised and mapped to cos(Wx + b), which approximates a Gaussian kernel.
-   Every partition sums its normal equations, of fixed size; the driver adds and solves them.
-3. Raw scores of the labelled rows are counted in fixed bins; pooling adjacent violators over the bins
-   gives a monotone calibration, interpolated between its blocks.
+   Every partition sums its normal equations for each fold, of fixed size; the driver adds and solves them.
+3. Each labelled row gets a raw score from the equations of the other folds, so that calibration sees how
+   unseen rows score; copies of a text share a fold.  Raw scores are counted in fixed bins; pooling adjacent
+   violators over the bins gives a monotone calibration, interpolated between its blocks.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ STATISTICS = (
     "log_lines", "log_line_length", "repeated_lines", "spaces", "pair_repeats", "longest_word",
 )
 DIGITS, STOPS, SYMBOLS, MARKS = b"0123456789", b".,;:", b"#*$%&<>", b"\"'()[]{}/\\=_+-~^`@"
-BINS = 1000
+BINS, FOLDS = 1000, 4
 
 
 def statistics(text: bytes) -> list[float]:
@@ -90,21 +91,27 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def normal_equations(rows: DataFrame, model: Model) -> np.ndarray:
-    """Sum of (features, y)^T (features, y); one matrix a partition is added up in one task, so keep the partitions few."""
+    """For each fold the sum of (features, y)^T (features, y); one matrix a partition and fold is added up in one
+    task, so keep the partitions few."""
     d = model.w.shape[1] + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((d, d))
+        total = np.zeros((FOLDS, d, d))
         for b in batches:
             z = np.column_stack([model.features(_matrix(b.column(0))), b.column(1).to_numpy()])
-            total += z.T @ z
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
+            fold = b.column(2).to_numpy()
+            for k in range(FOLDS):
+                part = z[fold == k]
+                total[k] += part.T @ part
+        yield pa.RecordBatch.from_arrays([pa.array(range(FOLDS), pa.int32()), pa.array([m.tobytes() for m in total], pa.binary())], names=["fold", "m"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"m": [sum(np.frombuffer(m) for m in pdf["m"]).tobytes()]})
+        return pd.DataFrame({"fold": pdf["fold"][:1], "m": [sum(np.frombuffer(m) for m in pdf["m"]).tobytes()]})
 
-    got = rows.select("x", "y").mapInArrow(run, "m binary").withColumn("all", F.lit(0)).groupBy("all").applyInPandas(add, "m binary").first()
-    return np.frombuffer(got["m"]).reshape(d, d) if got else np.zeros((d, d))
+    out = np.zeros((FOLDS, d, d))
+    for r in rows.select("x", "y", "fold").mapInArrow(run, "fold int, m binary").groupBy("fold").applyInPandas(add, "fold int, m binary").collect():
+        out[r["fold"]] = np.frombuffer(r["m"]).reshape(d, d)
+    return out
 
 
 def isotonic(n: np.ndarray, y: np.ndarray) -> list[tuple[int, int, float]]:
@@ -120,9 +127,9 @@ def isotonic(n: np.ndarray, y: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def fit(rows: DataFrame, features: int, width: float, ridge: float, partitions: int, seed: int) -> Model | None:
-    """``rows``: x and y in [0, 1].  None if there are none."""
+    """``rows``: id, x and y in [0, 1].  None if there are none."""
     d = len(STATISTICS)
-    rows = cut(rows.repartition(partitions, F.xxhash64("x")).select("x", "y"))
+    rows = cut(rows.repartition(partitions, F.xxhash64("id", "x")).select("x", "y", F.pmod(F.xxhash64("x"), F.lit(FOLDS)).cast("int").alias("fold")))
     moments = rows.select([F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(d)] + [F.stddev_pop(F.col("x")[i]).alias(f"s{i}") for i in range(d)] + [F.count(F.lit(1)).alias("n")]).first()
     if not moments["n"]:
         return None
@@ -130,14 +137,17 @@ def fit(rows: DataFrame, features: int, width: float, ridge: float, partitions:
     random = np.random.default_rng(seed)
     w, b = random.normal(0, 1 / width, (d, features)), random.uniform(0, 2 * np.pi, features)
     model = Model(mean, np.where(sd > 1e-9, sd, 1.0), w, b, np.zeros(features + 1), np.array([0.0]), np.array([0.0]))
-    m = normal_equations(rows, model)
+    each = normal_equations(rows, model)
     penalty = np.eye(features + 1) * ridge
     penalty[-1, -1] = 1e-9  # the intercept is free
-    model.beta = np.linalg.solve(m[:-1, :-1] + penalty, m[:-1, -1])
+    solved = lambda m: np.linalg.solve(m[:-1, :-1] + penalty, m[:-1, -1])
+    model.beta = solved(each.sum(0))
+    others = np.column_stack([solved(each.sum(0) - m) for m in each])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = np.clip((model.raw(_matrix(b.column(0))) + 0.5) / 2 * BINS, 0, BINS - 1).astype(np.int32)
+            raw = (model.features(_matrix(b.column(0))) @ others)[np.arange(b.num_rows), b.column(2).to_numpy()]
+            at = np.clip((raw + 0.5) / 2 * BINS, 0, BINS - 1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(at), b.column(1)], names=["bin", "y"])
 
     bins = rows.mapInArrow(run, "bin int, y double").groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).collect()
@@ -171,7 +181,7 @@ def quality_filter(docs: DataFrame, labels: DataFrame, features: int = 256, widt
     """
     marks = cut(teaching(labels, max_rows, id_col, label_col))
     known = bit_filter(pick(docs, id=id_col, text=text_col), F.xxhash64("id"), marks.select(F.xxhash64("id").alias("k")), marks.count())
-    model = fit(with_statistics(known, "id", "text").join(marks, "id").select("x", "y"), features, width, ridge, partitions, seed)
+    model = fit(with_statistics(known, "id", "text").join(marks, "id").select("id", "x", "y"), features, width, ridge, partitions, seed)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +205,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, features: int = 256, widt
     """
     rows = cut(with_statistics(docs, id_col, text_col))
     marks = teaching(labels, max_rows, id_col, label_col)
-    model = fit(rows.join(marks, "id").select("x", "y"), features, width, ridge, partitions, seed)
+    model = fit(rows.join(marks, "id").select("id", "x", "y"), features, width, ridge, partitions, seed)
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
