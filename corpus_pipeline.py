@@ -11,7 +11,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamspark.llm.bpe import bpe_encode
 from loamspark.llm.common import attach, cut_with, delete, shared_dir, sizes, table
 from loamspark.llm.jaccard_groups import one_of_each
 from loamspark.llm.line_dedup import line_dedup
@@ -72,8 +71,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     import public_tokenizers
 
-    path, pattern = vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return bpe_digests(bpe_encode(docs, path, pattern), path, pattern, keep=("ids",))
+    return bpe_digests(docs, vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=("ids",))
 
 
 STAGES = [

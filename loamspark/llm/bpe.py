@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 
 from .common import pick, slices
 
-#: Matches whose ids a Python worker remembers, in two generations of this size: when the younger is
-#: full it becomes the older, and what is met again moves to the younger.
+#: Matches whose ids a task remembers, in two generations of this size: when the younger is full it becomes
+#: the older, and what is met again moves to the younger.  An idle worker remembers none.
 CACHE = 1 << 17
 #: Bytes of text, and of matches that go through one queue, at a time; a single longer one goes alone.
 TEXT, QUEUE = 1 << 20, 1 << 19
@@ -192,17 +192,18 @@ _CODECS: dict[tuple[str, str], Codec] = {}
 
 
 def codec(path: str, pattern: str) -> Codec:
-    """One for each Python worker, so that later tasks find the cache filled."""
+    """One for each Python worker, so that later tasks need not load the ranks."""
     if (path, pattern) not in _CODECS:
         _CODECS[path, pattern] = Codec(load_ranks(path), pattern)
     return _CODECS[path, pattern]
 
 
-def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """id, ids array<int>, one row a row.  ``path``: a rank file, on every executor.
 
     Null and empty texts give no ids.  Rows are encoded alone: repeats and null ids come out as they
-    are.  Empty in, empty out.
+    are.  Texts and matches of any length count whole.  Other columns are left out, whatever their names.
+    ``decoded`` adds a column of that name, as :func:`bpe_decode` would.  Empty in, empty out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,16 +213,20 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             offsets = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
             values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["id", "ids"])
-        c.older = {}  # an idle worker keeps the younger generation only
+            lists = pa.ListArray.from_arrays(pa.array(offsets), values)
+            more = [c.decode(lists)] if decoded else []
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, *more], names=["id", "ids", "decoded"][: 2 + len(more)])
+        c.clear()
+        c.older = {}
 
     rows = pick(docs, id=id_col, text=text_col)
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, ids array<int>" + ", decoded binary" * decoded).withColumnRenamed("id", id_col)
 
 
 def bpe_decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """id, ids, decoded binary: the bytes that the ids stand for; null ids give no bytes.  An id outside the table fails."""
+    """id, ids, decoded binary: the bytes that the ids stand for; null ids give no bytes.  An id outside the table
+    fails.  One row a row, repeats and null ids included; other columns are left out.  Empty in, empty out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)

@@ -35,6 +35,8 @@ from .components import components
 CELL_BITS, BLOCK_BITS, SALTS = 20, 14, 64
 #: Places of a set's order by which it may be probed beyond the least, and tokens that must then be shared.
 MORE = 3
+#: Bytes of text that a worker hashes at a time; its arrays take some 40 times as many.
+TEXT = 1 << 20
 #: Pairs of one hot key that share a copy of its tokens.
 SPREAD = 1024
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -142,7 +144,7 @@ def _read(rows: DataFrame, n: int) -> DataFrame:
         cells = np.zeros(1 << CELL_BITS, np.uint32)
         names = ["id", "text_hash", "size", "sid", "block", "salt", "data"]
         id_type = None
-        for b in slices(batches, 1):
+        for b in slices(batches, 1, TEXT):
             id_type = b.column(0).type
             sets = token_sets(b.column(1).cast(pa.binary()).to_pylist(), n)
             at = np.concatenate(sets) & np.uint64((1 << CELL_BITS) - 1)
@@ -163,7 +165,7 @@ def _entries(rows: DataFrame, order) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o, met = order.value, set()
-        for b in slices(batches, 0):
+        for b in slices(batches, 0, TEXT):
             token, count, facts = [], [], []
             for tokens in token_sets(b.column(0).cast(pa.binary()).to_pylist(), o.n):
                 sid = set_id(tokens)
@@ -183,7 +185,7 @@ def _entries(rows: DataFrame, order) -> DataFrame:
 
 def _sets(rows: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 0):
+        for b in slices(batches, 0, TEXT):
             sets = token_sets(b.column(0).cast(pa.binary()).to_pylist(), n)
             yield pa.RecordBatch.from_arrays([pa.array(list(map(set_id, sets)), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["sid", "tokens"])
 

@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, attach, bit_filter, bit_split, cut, cut_with, pick, sizes, whole
+from .common import WORD, attach, bit_filter, bit_split, cut, cut_with, pick, release, sizes, whole
 
 #: Classes of characters for the sieve; one edit changes the number of characters in a class by one at most.
 CLASSES = ("aeiou", "lnrst", "bcdfghjkmpqvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " .,;:!?-")
@@ -199,9 +199,11 @@ def line_dedup(docs: DataFrame, max_edits: int = 1, min_chars: int = 24, carry:
         pairs = pairs.unionByName(index.join(probe.withColumnRenamed("lid", "other").drop("i"), "h").select("lid", "other"))
     else:
         pairs = index.join(probe.withColumnRenamed("lid", "other").drop("i"), "h").select("lid", "other")
+    release(docs.sparkSession)
     pairs = cut(pairs.where("lid != other").select(F.least("lid", "other").alias("a"), F.greatest("lid", "other").alias("b")).distinct())
     texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("lid"))).withColumn("key", F.unhex(F.md5("line")))
     texts = cut(texts.join(different.select("key", "first"), "key"))
+    release(docs.sparkSession)
     of = lambda side: texts.select(F.col("lid").alias(side), F.col("line").alias(f"line_{side}"), F.col("key").alias(f"key_{side}"), F.col("first").alias(f"first_{side}"))
     near = pairs.join(of("a"), "a").join(of("b"), "b")
     # Nested, so that each test is made only after the cheaper ones.
@@ -213,6 +215,7 @@ def line_dedup(docs: DataFrame, max_edits: int = 1, min_chars: int = 24, carry:
     hit, facts = cut_with(different.select("key", "first", "n").join(late, "key", "left").where("n > 1 OR late"), **sizes("n"), **counted)
     placed = lines.select(digest.alias("key"), place.alias("place"))
     placed = cut(bit_filter(placed, F.xxhash64("key"), hit.select(F.xxhash64("key").alias("k")), facts["rows"]))
+    release(docs.sparkSession)
     gone = attach(placed, hit, ["key"], "n", facts, "inner").where("late OR place != first")
     gone = gone.select(F.col("place.rid").alias("rid"), F.col("place.id").alias("_id"), F.col("place.at").alias("at")).groupBy("rid", "_id").agg(F.collect_set("at").alias("gone"))
     gone, facts = cut_with(gone, **counted)

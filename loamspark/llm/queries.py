@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, line_dedup, mixing
-from .bpe import bpe_decode, bpe_encode
+from .bpe import bpe_encode
 from .brown import lm_scores
 from .common import table
 from .fst_count import fst_token_counts
@@ -38,17 +38,16 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-def bpe_digests(encoded: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    decoded = bpe_decode(encoded, path, pattern)
+def bpe_digests(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    coded = bpe_encode(docs, path, pattern, decoded=True)
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return decoded.select("doc_id", *keep, F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded.select("doc_id", *keep, F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path, pattern = vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return bpe_digests(bpe_encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    return bpe_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
