@@ -9,7 +9,7 @@
    which the token comes earliest: a number of pairs linear in the list.  Links give a first partition
    of similar documents into groups, cut to at most ``members`` sets each.
 4. The matrix has the groups that hold a token.  A set probes it with its first tokens for groups of
-   other components that hold enough of them.  The set's overlap with the group's token union bounds that with each member;
+   larger components that hold enough of them at places that leave room for the overlap.  The set's overlap with the group's token union bounds that with each member;
    only groups whose bound suffices are opened and their members compared.
 5. Links of both steps give the components.
 
@@ -237,6 +237,35 @@ def _union(groups: DataFrame) -> DataFrame:
     return groups.groupBy("gid").applyInPandas(union, "gid long, y binary")
 
 
+def _probes(placed: DataFrame, percent: int) -> DataFrame:
+    """placed (token, sid, size, place, indexed, component, crowd, gid) to (a, b): set a may link to one of group b.
+
+    Sets of the component with the smaller crowd probe the groups of the larger, so a crowd is met group by
+    group.  Of two sets that link, the longer shares first tokens with the shorter's indexed ones: either the
+    probing set is the longer and the group holds the token as indexed, or it is the shorter and has it so.  The
+    j-th token that linked sets share leaves room for all but j - 1 of their overlap; MORE of them are looked at.
+    """
+    mixed = placed.groupBy("token").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a != _b").select("token")
+    inside = lambda f, c: f(F.when(F.col("indexed"), F.col(c)))
+    matrix = placed.join(mixed, "token", "left_semi").groupBy("token", "gid", F.col("component").alias("other"), F.col("crowd").alias("larger")).agg(
+        F.min("place").alias("first"), F.min("size").alias("low"), F.max("size").alias("high"),
+        inside(F.min, "place").alias("first_in"), inside(F.min, "size").alias("low_in"), inside(F.max, "size").alias("high_in"),
+    )
+    size = F.col("size")
+
+    def spare(first: str, high: str, least: Column) -> Column:
+        return 1 + F.least(F.col(high) - F.col(first) - 1, size - F.col("place") - 1) - least_overlap(size, least, percent)
+
+    longer = F.when((F.col("low_in") <= size) & (F.col("high_in") * 100 >= size * percent), spare("first_in", "high_in", F.greatest(F.col("low_in"), F.ceil(size * percent / 100 - 1e-9))))
+    shorter = F.when(F.col("indexed") & (F.col("high") >= size) & (F.col("low") * percent <= size * 100), spare("first", "high", F.greatest("low", "size")))
+    met = F.coalesce(F.greatest(longer, shorter), F.lit(-MORE))
+    enough = F.least(F.lit(MORE), F.ceil(size * percent / 100 - 1e-9))
+    crossing = (F.col("crowd") < F.col("larger")) | ((F.col("crowd") == F.col("larger")) & (F.col("component") < F.col("other")))
+    probes = placed.drop("gid").join(matrix, "token").where(crossing & (met > -MORE))
+    probes = probes.groupBy(F.col("sid").alias("a"), F.col("gid").alias("b"), "size").agg(F.count(F.lit(1)).alias("n"), F.max(met >= 0).alias("roomy"))
+    return probes.where(F.col("roomy") & (F.col("n") >= enough)).select("a", "b")
+
+
 def near_components(docs: DataFrame, n: int = 5, percent: int = 80, members: int = 256, id_col: str = "doc_id", text_col: str = "text", keys: bool = False) -> DataFrame:
     """One row per row: id, n_shingles, component_id (the smallest id reachable by links, itself included).
 
@@ -285,18 +314,11 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, members: int
     release(spark)
     # The matrix: which groups' index entries hold a token, with the most favourable place and the sizes.
     per_comp, facts = cut_with(comps.groupBy("component").agg(F.count(F.lit(1)).alias("n")), **sizes("n"))
-    labels = attach(comps, per_comp, ["component"], "n", facts).select(F.col("node").alias("sid"), "component", F.xxhash64("component", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / members))).alias("gid"))
+    labels = attach(comps, per_comp, ["component"], "n", facts).select(F.col("node").alias("sid"), "component", F.col("n").alias("crowd"), F.xxhash64("component", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / members))).alias("gid"))
     lone = F.col("sid")
-    placed = listed.drop("head", "head_size").join(labels, "sid", "left").withColumns({"component": F.coalesce("component", lone), "gid": F.coalesce("gid", F.xxhash64(lone, F.lit(0)))})
+    placed = listed.drop("head", "head_size").join(labels, "sid", "left").withColumns({"component": F.coalesce("component", lone), "crowd": F.coalesce("crowd", F.lit(1).cast("long")), "gid": F.coalesce("gid", F.xxhash64(lone, F.lit(0)))})
     placed = cut(placed)
-    mixed = placed.groupBy("token").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a != _b").select("token")
-    matrix = placed.where("indexed").join(mixed, "token", "left_semi").groupBy("token", "gid", "component").agg(F.min("place").alias("first"), F.min("size").alias("low"), F.max("size").alias("high"))
-    matrix = matrix.withColumnRenamed("component", "other")
-    room = 1 + F.least(F.col("high") - F.col("first") - 1, F.col("size") - F.col("place") - 1)
-    shortest = F.greatest(F.col("low"), F.ceil(F.col("size") * percent / 100 - 1e-9))
-    probes = placed.drop("gid").join(matrix, "token").where((F.col("component") != F.col("other")) & (F.col("low") <= F.col("size")) & (F.col("high") * 100 >= F.col("size") * percent))
-    probes = probes.groupBy(F.col("sid").alias("a"), F.col("gid").alias("b"), "size").agg(F.count(F.lit(1)).alias("n"), F.max(room >= least_overlap(F.col("size"), shortest, percent)).alias("roomy"))
-    probes, facts = cut_with(probes.where(F.col("roomy") & (F.col("n") >= enough)).select("a", "b"), **counted)
+    probes, facts = cut_with(_probes(placed, percent), **counted)
     release(spark)
     final = comps
     if facts["rows"]:
