@@ -7,10 +7,14 @@ last tokens of the prefixes within that suffix.  Both are bounded by the longest
 finite.  Each transition is annotated with the number of tokens by which the prefix's count changes.
 States and transitions are compiled when first met, as most never are.
 
-No piece has a space mark after another character, nor a character outside all pieces.  Before the
-first, and around the second, the machine is back in its start state, whatever came before.  Texts are
-cut there into chunks; a chunk's map from entry state to (exit state, count) is then constant, and maps
-compose by an associative rule, which a tree-shaped scan applies.
+Texts are cut at fixed sizes, inside words too.  A piece's map leads from its entry states to (exit state,
+count).  Maps compose by an associative rule, in pairs of pairs as in a prefix scan, so pieces are worked on
+independently of each other.  The entry states for which a piece's map is made up front are those that can
+be told from the text just before it; should composing ask for another, it is added then.
+
+No vocabulary piece has a space mark after another character, nor a character outside all pieces.  Before the
+first, and around the second, the machine is back in its start state, whatever came before.  From the first
+such place in a piece on, its map is constant: what lies between two of them is a word with a remembered count.
 """
 
 from __future__ import annotations
@@ -25,8 +29,10 @@ from pyspark.sql import DataFrame
 from .common import pick, slices
 
 MARK = "▁"
-#: Chunk maps, and transducer states, that a Python worker holds; when full it starts anew.
-CHUNKS, STATES = 1 << 20, 1 << 19
+#: Words' counts, transducer states, and pairs of tokens that a Python worker holds; when full it starts anew.
+WORDS, STATES, PAIRS = 1 << 20, 1 << 19, 1 << 20
+#: Characters in a piece of a text, and before a piece from which its entry state is told.
+PIECE, BEFORE = 1 << 12, 64
 
 
 class Model:
@@ -39,7 +45,7 @@ class Model:
         normal = [i for i in range(p.get_piece_size()) if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i) or p.is_unused(i))]
         self.score = {p.id_to_piece(i): p.get_score(i) for i in normal}
         if any(MARK in x.lstrip(MARK) for x in self.score):
-            raise ValueError("a piece goes on after a word's end; chunks can't be cut at spaces")
+            raise ValueError("a piece goes on after a word's end; words don't begin anew at spaces")
         self.chars = {c for x in self.score for c in x}
         # Three probes tell whether texts are taken as they are, but for spaces and a first one.
         plain = [p.encode(x, out_type=str) for x in ("a", "  a ", "①")]
@@ -70,13 +76,15 @@ class Transducer:
         self.prefixes = prefixes
         self.tokens = {x for x in model.score if len(x) == 1 or model.split(list(x)) == [x]}
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.first = ("", ("",), (0,))
         self.reset()
 
     def reset(self) -> None:
+        self.pairs.clear()
         self.state_of: dict[tuple, int] = {}
         self.key_of: list[tuple] = []
         self.step: dict[tuple[int, str], tuple[int, int]] = {}
-        self.start = self.number(("", ("",), (0,)))
+        self.start = self.number(self.first)
 
     def number(self, key: tuple) -> int:
         if key not in self.state_of:
@@ -116,51 +124,101 @@ class Transducer:
         key = (text[-keep:], tuple(lasts[-keep - 1 :]), tuple(x - delta for x in counts[-keep - 1 :]))
         return self.number(key), delta
 
-    def run(self, chunk: str, state: int) -> tuple[int, int]:
-        step, total = self.step, 0
-        for c in chunk:
+    def run(self, text: str, key: tuple) -> tuple[tuple, int]:
+        """The state's key after the text, and by how much the count changes.  Keys outlive a reset."""
+        if len(self.key_of) > STATES or len(self.pairs) > PAIRS:
+            self.reset()
+        step, total, state = self.step, 0, self.number(key)
+        for c in text:
             at = step.get((state, c))
             if at is None:
                 at = step[state, c] = self.compile(state, c)
             state = at[0]
             total += at[1]
-        return state, total
+        return self.key_of[state], total
 
 
-def compose(exits: np.ndarray, counts: np.ndarray) -> tuple[int, int]:
-    """Constant maps composed pairwise, level by level: the later one's exit, the sum of both counts."""
-    while len(exits) > 1:
-        if len(exits) % 2:
-            exits, counts = np.append(exits, exits[-1]), np.append(counts, 0)
-        exits, counts = exits[1::2], counts[::2] + counts[1::2]
-    return (int(exits[0]), int(counts[0])) if len(exits) else (0, 0)
+class Map(dict):
+    """From entry state to (exit state, count); ``f`` gives it for an entry state met for the first time."""
+
+    def __init__(self, f) -> None:
+        self.f = f
+
+    def __missing__(self, entry: tuple) -> tuple[tuple, int]:
+        self[entry] = out = self.f(entry)
+        return out
+
+
+def composed(first: Map, second: Map) -> Map:
+    """What is known of the first, followed by the second; more when it is asked for."""
+
+    def f(entry: tuple) -> tuple[tuple, int]:
+        between, n = first[entry]
+        end, m = second[between]
+        return end, n + m
+
+    out = Map(f)
+    for entry in [*first]:
+        out[entry]
+    return out
+
+
+def scanned(maps: list[Map]) -> Map:
+    """All maps composed, in pairs, level by level."""
+    while len(maps) > 1:
+        odd = maps[-1:] if len(maps) % 2 else []
+        maps = [composed(x, y) for x, y in zip(maps[::2], maps[1::2])] + odd
+    return maps[0]
 
 
 class Counter(dict):
-    """From a chunk to its map, packed: exit state * 2**32 + count."""
+    """From a word, with the spaces before it, to the number by which it changes the count."""
 
-    def __init__(self, path: str) -> None:
-        self.machine = Transducer(Model(path))
+    def __init__(self, path: str, piece: int = PIECE) -> None:
+        self.machine, self.piece = Transducer(Model(path)), piece
         self.find = re.compile(r" +[^ \n]*|[^ \n]+|\n+").findall
+        self.anew = re.compile(r"(?<=[^ ]) |(?<=\n)")
 
-    def __missing__(self, chunk: str) -> int:
-        m = self.machine
-        if len(m.key_of) > STATES:
-            m.reset()
-        exit_, n = m.run(chunk.replace(" ", MARK), m.start)
-        n |= exit_ << 32
-        if len(self) >= CHUNKS:
+    def run(self, text: str, key: tuple) -> tuple[tuple, int]:
+        return self.machine.run(text.replace(" ", MARK), key)
+
+    def __missing__(self, word: str) -> int:
+        n = self.run(word, self.machine.first)[1]
+        if len(self) >= WORDS:
             self.clear()
-        if len(chunk) <= 64:
-            self[chunk] = n
+        if len(word) <= 64:
+            self[word] = n
         return n
 
+    def map_of(self, text: str, at: int) -> tuple[Map, bool]:
+        """The map of the piece that begins at ``at``, and whether it is constant."""
+        part, m = text[at : at + self.piece], self.machine
+        anew = self.anew.search(part)
+        start = 0 if not at else anew.start() if anew else len(part)
+        head, words = part[:start], self.find(part[start:])
+        if not words:
+            return Map(lambda entry: self.run(part, entry)), False
+        # The last word may go on in the next piece.
+        end, n = self.run(words.pop(), m.first)
+        n += sum(map(self.__getitem__, words))
+        return Map(lambda entry: (end, n + self.run(head, entry)[1])), True
+
     def count(self, text: str) -> int:
         if not text:
             return 0
-        chunks = self.find(" " + text.replace(MARK, " "))
-        maps = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
-        return compose(maps >> 32, maps & 0xFFFFFFFF)[1]
+        text = " " + text.replace(MARK, " ")
+        first = self.machine.first
+        if len(text) <= self.piece:
+            return sum(map(self.__getitem__, self.find(text)))
+        maps, entry = [], first
+        for at in range(0, len(text), self.piece):
+            made, constant = self.map_of(text, at)
+            end, _ = made[entry]
+            maps.append(made)
+            if not constant:
+                end, _ = self.run(text[max(0, at + self.piece - BEFORE) : at + self.piece], first)
+            entry = end
+        return scanned(maps)[first][1]
 
 
 _COUNTERS: dict[str, Counter] = {}
@@ -176,7 +234,8 @@ def fst_token_counts(docs: DataFrame, path: str, limit: int = 4096, id_col: str
     """id, n_bytes, n_tokens, over_limit per row.  ``path``: a sentencepiece BPE model, on every executor.
 
     Null and empty texts have no bytes and no tokens.  Rows are counted alone: repeats and null ids
-    come out as they are.  Empty in, empty out.
+    come out as they are.  Texts of any length, words of any length count whole.  Other columns are left
+    out, whatever their names.  Empty in, empty out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -189,6 +190,30 @@ def test_tokenizers_equal_the_libraries():
         assert counter.count(t) == len(library.encode(t))
 
 
+def test_counts_of_texts_cut_inside_words():
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    library, rnd = sentencepiece.SentencePieceProcessor(model_file=path), random.Random(5)
+    texts = ["".join(rnd.choice("abcdefghilnorst" * 4 + "   \n\té漢'▁.😀Ж0x") for _ in range(rnd.randint(0, 300))) for _ in range(400)] + [" " * 100, "\n" * 70, "a" * 500]
+    for piece in (1, 2, 7, 64):
+        counter = fst_count.Counter(path, piece)
+        assert [counter.count(t) for t in texts] == [len(library.encode(t)) for t in texts]
+    word = "".join(rnd.choice("etaoinshrdlu") for _ in range(5000)) * 200
+    assert fst_count.Counter(path).count(word) == len(library.encode(word))
+
+
+def test_counting_goes_on_when_the_memory_is_full(monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(fst_count, "STATES", 50)
+    path = P.path("piece_bpe_32k.model")
+    counter, library, rnd = fst_count.Counter(path, 16), sentencepiece.SentencePieceProcessor(model_file=path), random.Random(6)
+    for _ in range(100):
+        t = "".join(rnd.choice("etaoinshrdlu ") for _ in range(rnd.randint(0, 200)))
+        assert counter.count(t) == len(library.encode(t))
+
+
 def test_class_model_is_a_distribution(spark):
     rnd = random.Random(6)
     rows = [(i, " ".join(rnd.choice(["the cat", "a dog", "the dog sat", "RUNS"]) for _ in range(rnd.randint(0, 9)))) for i in range(120)]
@@ -257,6 +282,22 @@ def test_html():
     assert html_extract.main_text(None) == ""
 
 
+def test_html_without_marks():
+    pages = [r[0] for r in duckdb.sql(f"SELECT html FROM '{SF}/pages.parquet' WHERE html IS NOT NULL").fetchall()]
+    whole = [html_extract.main_text(x) for x in pages]
+    assert sum(html_extract.main_text(re.sub("</?article>", "", x)) == y for x, y in zip(pages, whole)) >= 0.96 * len(pages)
+    assert html_extract.main_text("<body><p>日本語の文章です。</p><p>二番目。</p></body>") == "日本語の文章です。\n\n二番目。"
+    assert html_extract.main_text('<article><script src=//x.y/z/>var a=1;</script><p>A &lt;b&gt; c < d.</p><p class="social-history">Kept.</p><div class="site-footer">Gone.</div></article>') == "A <b> c < d.\n\nKept."
+    assert html_extract.named_boilerplate("x ad-300x250") and html_extract.named_boilerplate("cookieNotice") and not html_extract.named_boilerplate("advice comment-free")
+
+
+def test_html_takes_linear_time():
+    for page in ("<a " * 350_000, '<a b="' * 170_000, "<" * 500_000, "<!-- " * 200_000, "<script>" * 120_000, '<a b="' * 85_000 + "<a c='" * 85_000 + ">"):
+        start = time.process_time()
+        html_extract.main_text(page)
+        assert time.process_time() - start < 3
+
+
 def test_html_table(spark):
     rows = spark.createDataFrame([(1, "u", "<article><p>a</p></article>"), (None, None, None)], "page_id long, url string, html string")
     assert {(r.page_id, r.text, r.n_chars) for r in html_extract.extract_html(rows).collect()} == {(1, "a", 1), (None, "", 0)}
