@@ -7,7 +7,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
 from ..functions.scalars import squared_distance
 
 
@@ -15,11 +14,14 @@ def _literal(centroids: list[list[float]]) -> Column:
     return F.array(*[F.array(*map(F.lit, map(float, c))) for c in centroids])
 
 
+def _best(centroids: list[list[float]]) -> Column:
+    """(distance, cluster) of x's nearest centroid; of equal distances the lowest number."""
+    return F.array_min(F.transform(_literal(centroids), lambda c, i: F.struct(squared_distance(F.col("x"), c).alias("distance"), i.alias("cluster"))))
+
+
 def nearest(points: DataFrame, centroids: list[list[float]]) -> DataFrame:
     """points (id, x) with cluster and distance (squared); of equal distances the lowest number wins."""
-    ranked = F.transform(_literal(centroids), lambda c, i: F.struct(squared_distance(F.col("x"), c).alias("distance"), i.alias("cluster")))
-    best = F.array_min(ranked)
-    return points.withColumn("_best", best).select("id", "x", F.col("_best.cluster").alias("cluster"), F.col("_best.distance").alias("distance"))
+    return points.withColumn("_best", _best(centroids)).select("id", "x", F.col("_best.cluster").alias("cluster"), F.col("_best.distance").alias("distance"))
 
 
 def cluster_means(points: DataFrame) -> DataFrame:
@@ -39,25 +41,36 @@ def reseed(centroids: list[list[float]], cluster: int) -> list[float]:
     return np.mean([centroids[(cluster + i) % k] for i in range(3)], axis=0).tolist()
 
 
-def update(assigned: DataFrame, centroids: list[list[float]]) -> list[list[float]]:
-    """True means of the clusters; k * d rows come to the driver."""
+def update(points: DataFrame, centroids: list[list[float]], before: list[list[float]] | None = None) -> tuple[list[list[float]], bool]:
+    """True means of the clusters, and whether a label differs from that by the centroids before (without them, True).
+
+    One pass and one shuffle of partial sums; k * d rows come to the driver.
+    """
+    rows = points.select("x", _best(centroids)["cluster"].alias("cluster"))
+    moved = F.lit(True) if before is None else F.col("cluster") != _best(before)["cluster"]
+    each = rows.withColumn("moved", moved).select("cluster", "moved", F.posexplode("x").alias("dim", "value"))
     new: list[list[float] | None] = [None] * len(centroids)
-    for r in cluster_means(assigned).collect():
+    any_moved = False
+    for r in each.groupBy("cluster", "dim").agg(F.avg("value").alias("mean"), F.bool_or("moved").alias("moved")).collect():
         if new[r["cluster"]] is None:
             new[r["cluster"]] = [0.0] * len(centroids[0])
         new[r["cluster"]][r["dim"]] = r["mean"]
-    return [reseed(centroids, i) if c is None else c for i, c in enumerate(new)]
+        any_moved |= r["moved"]
+    return [reseed(centroids, i) if c is None else c for i, c in enumerate(new)], any_moved
 
 
 def kmeans(points: DataFrame, k: int, max_iter: int = 20, seed: int | None = None, centroids: list[list[float]] | None = None) -> tuple[DataFrame, list[list[float]]]:
-    """Labels (id, x, cluster, distance) and centroids, once no label changes or after max_iter updates."""
+    """Labels (id, x, cluster, distance) and centroids, once no label changes or after max_iter updates.
+
+    Centroids are literals and labels follow from them, so no lineage grows and nothing is stored.
+    """
     centroids = centroids or first_centroids(points, k, seed)
     if not centroids:
         return points.select("id", "x", F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("double").alias("distance")), []
-    old = None
+    before = None
     for _ in range(max_iter):
-        now = cut(nearest(points, centroids))
-        if old is not None and not now.join(old.select("id", F.col("cluster").alias("_old")), "id").where("cluster != _old").head(1):
-            return now, centroids
-        centroids, old = update(now, centroids), now
+        new, moved = update(points, centroids, before)
+        if not moved:
+            break
+        centroids, before = new, centroids
     return nearest(points, centroids), centroids

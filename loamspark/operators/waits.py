@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def wait_stats(events: DataFrame) -> DataFrame:
-    """events (id, ts, state) to (id, meals, wait_us): times from hungry to the eating that follows."""
-    order = Window.partitionBy("id").orderBy("ts")
+def wait_stats(events: DataFrame, tie: str | None = None) -> DataFrame:
+    """events (id, ts, state) to (id, meals, wait_us): times from hungry to the eating that follows.
+
+    At equal times the column ``tie`` decides, or else hungry comes before eating.
+    """
+    order = Window.partitionBy("id").orderBy("ts", tie or F.desc("state"))
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = events.where(F.col("state").isin("hungry", "eating")).select("id", "state", micros.alias("at"), F.lag("state").over(order).alias("before"), F.lag(micros).over(order).alias("since"))
     eats = F.col("state") == "eating"

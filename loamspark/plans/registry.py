@@ -34,10 +34,9 @@ def league_table(spark, sf_dir):
 
 
 def league_full_roster(spark, sf_dir):
-    rows = matches(spark, sf_dir).where("home_score > 5")
     teams = read(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), (F.col("s_suppkey") + 3).cast("string")).alias("team"))
     roster = teams.withColumn("tournament", F.explode(F.array(*map(F.lit, "ANR"))))
-    return league.league_table(rows, roster)
+    return league.league_table(matches(spark, sf_dir), roster)
 
 
 def league_lines(spark, sf_dir):
@@ -69,8 +68,8 @@ def numeral_savings(spark, sf_dir):
 
 
 def duplicate_sum(spark, sf_dir):
-    values = F.transform(F.collect_list("l_linenumber"), lambda x: x.cast("int"))
-    return read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(values.alias("v")).select("l_orderkey", S.repeated_value(F.col("v")).alias("surplus"))
+    surplus = F.sum("l_linenumber") - S.series_expectation(F.count(F.lit(1)))
+    return read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(surplus.alias("surplus"))
 
 
 def points(spark, sf_dir):
@@ -151,6 +150,12 @@ def worker_wait_stats(spark, sf_dir):
     return waits.gaps(read(spark, sf_dir, "events"), "user_id", "ts", "event_id")
 
 
+def worker_meals(spark, sf_dir):
+    """Every other event of a user as hunger, the rest as meals."""
+    state = F.when(F.col("event_id") % 2 == 0, "hungry").otherwise("eating")
+    return waits.wait_stats(read(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "ts", state.alias("state"), "event_id"), "event_id")
+
+
 def minute_ticks(spark, sf_dir):
     rows = ticks.ticks(read(spark, sf_dir, "events"))
     return rows.select(F.unix_micros("start").alias("start_us"), "n")
@@ -167,7 +172,7 @@ def poisson_arrivals(spark, sf_dir):
 def queries() -> dict:
     return {f.__name__: f for f in (
         league_table, league_full_roster, league_lines, match_parse, numeral_encode, numeral_decode, numeral_savings, duplicate_sum, sq_distance_nearest, cluster_means, kmeans_3_iters, kmeans_reseed,
-        signal_params, signal_report, signal_queue, tsp_best_cost, widest_path, tree_levels, tree_segments, worker_wait_stats, minute_ticks, gaussian_mixture, poisson_arrivals,
+        signal_params, signal_report, signal_queue, tsp_best_cost, widest_path, tree_levels, tree_segments, worker_wait_stats, worker_meals, minute_ticks, gaussian_mixture, poisson_arrivals,
     )}
 
 
@@ -201,7 +206,7 @@ def oracle_sql() -> dict[str, str]:
     values = lambda rows: ", ".join(f"({i + 1}, {', '.join(map(str, x))})" for i, x in enumerate(rows))
     return {
         "league_table": _LEAGUE + "SELECT * FROM r",
-        "league_full_roster": "WITH " + _MATCHES.format(where="WHERE trunc(l_quantity)::INT % 7 > 5") + _TABLE.format(roster="UNION ALL SELECT t, 'S' || (s_suppkey + 3), NULL, NULL FROM supplier, (VALUES ('A'), ('N'), ('R')) v(t)") + "SELECT * FROM r",
+        "league_full_roster": "WITH " + _MATCHES.format(where="") + _TABLE.format(roster="UNION ALL SELECT t, 'S' || (s_suppkey + 3), NULL, NULL FROM supplier, (VALUES ('A'), ('N'), ('R')) v(t)") + "SELECT * FROM r",
         "league_lines": _LEAGUE + "SELECT tournament, rank, printf('%d) %s %dp, %dg (%d-%d-%d), %dgd (%d-%d)', rank, team, points, games, wins, draws, losses, goal_diff, scored, missed) AS line FROM r",
         "match_parse": "WITH " + _MATCHES.format(where="") + " SELECT h AS home, a AS home_score, b AS away_score, w AS away FROM m",
         "numeral_encode": f"SELECT p_partkey, {_ENCODE} AS numeral FROM part",
@@ -217,5 +222,8 @@ def oracle_sql() -> dict[str, str]:
         "widest_path": f"WITH RECURSIVE {_ROADS}, e AS (SELECT c, s, e, d FROM d WHERE s < e UNION ALL SELECT c, e, s, d FROM d WHERE s < e), t AS (SELECT c, 0::BIGINT AS spot, 2147483647::BIGINT AS w, [0::BIGINT] AS p FROM (SELECT DISTINCT c FROM n) UNION ALL SELECT t.c, e.e, least(w, e.d), list_append(p, e.e) FROM t JOIN e ON t.c = e.c AND e.s = spot WHERE NOT list_contains(p, e.e)) SELECT c AS scenario, 0 AS src, spot::INT AS dst, max(w)::INT AS width FROM t WHERE spot <> 0 GROUP BY c, spot",
         "tree_levels": "SELECT level::INT AS level, (1 << level)::BIGINT AS n FROM generate_series(0, 14) g(level)",
         "worker_wait_stats": "SELECT user_id, count(*) AS n, coalesce(sum(g), 0)::BIGINT AS total_gap_us, coalesce(max(g), 0)::BIGINT AS max_gap_us FROM (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events) GROUP BY user_id",
+        "worker_meals": "SELECT user_id AS id, count(*) FILTER (s = 1) AS meals, coalesce(sum(t - b) FILTER (s = 1 AND q = 0), 0)::BIGINT AS wait_us FROM (SELECT user_id, event_id % 2 AS s, epoch_us(ts) AS t, lag(epoch_us(ts)) OVER w AS b, lag(event_id % 2) OVER w AS q FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) GROUP BY user_id",
+        "kmeans_reseed": f"WITH {_POINTS}, ab AS (SELECT first(x ORDER BY id) AS a, list(x ORDER BY id)[2] AS b FROM (SELECT id, x FROM p ORDER BY id LIMIT 2)), g AS (SELECT CASE WHEN {_SQ.format(a='x', b='a')} <= {_SQ.format(a='x', b='b')} THEN 0 ELSE 2 END AS cluster, x FROM p, ab), v AS (SELECT cluster, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS dim FROM g), s AS (SELECT unnest(a) AS a, unnest(b) AS b, generate_subscripts(a, 1) - 1 AS dim FROM ab) SELECT cluster::INT AS cluster, dim::INT AS dim, round(avg(v), 5) AS value FROM v GROUP BY cluster, dim UNION ALL SELECT 1, dim::INT, round((2 * a + b) / 3, 5) FROM s",
+        "tree_segments": "WITH RECURSIVE t AS (SELECT 0 AS level, 0::BIGINT AS branch, 320 AS x0, 511 AS y0, 320 AS x1, 381 AS y1, 0.0::DOUBLE AS a, 130.0::DOUBLE AS size UNION ALL SELECT level + 1, branch * 2 + b, x1, y1, x1 + trunc(round(-trunc(size * 0.75::DOUBLE) * sin(radians(a + (1 - 2 * b) * 24.0::DOUBLE)), 9))::INT, y1 - trunc(round(trunc(size * 0.75::DOUBLE) * cos(radians(a + (1 - 2 * b) * 24.0::DOUBLE)), 9))::INT, a + (1 - 2 * b) * 24.0::DOUBLE, size * 0.75::DOUBLE FROM t, (VALUES (0), (1)) v(b) WHERE size * 0.75::DOUBLE >= 2) SELECT level, branch, x0, y0, x1, y1 FROM t",
         "minute_ticks": "SELECT epoch_us(date_trunc('minute', ts)) AS start_us, count(*) AS n FROM events GROUP BY 1",
     }

@@ -1,9 +1,16 @@
-"""Readers of small text formats in which a count says how many lines follow; one file is one driver-side parse."""
+"""Readers of small text formats in which a count says how many lines follow.
+
+A path may name any number of files; each is parsed by a task, one block format needs its file whole.  Numbers
+(of scenarios, cases, points) count within a file; ``file=True`` adds a column with the file's path.  Text that
+isn't a number reads as 0, as does what is missing at a file's end.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,51 +19,86 @@ from ..operators.league import parse_match
 from ..operators.signals import KEYS
 
 
-def _lines(spark: SparkSession, path: str) -> list[str]:
-    text = spark.read.text(path, wholetext=True).first()
-    return text[0].replace("\r\n", "\n").split("\n") if text else []
+def _int(text: str) -> int:
+    return int((re.match(r"\s*[+-]?\d+", text) or ["0"])[0])
 
 
-def read_leagues(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """matches (tournament, seq, home, home_score, away_score, away) and roster (tournament, team)."""
-    lines = iter(_lines(spark, path))
+def _float(text: str) -> float:
+    return float((re.match(r"\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?", text) or ["0"])[0])
+
+
+def _parsed(spark: SparkSession, path: str, parse: Callable[[list[str]], list[tuple]], schema: str, file: bool) -> DataFrame:
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for name, text in zip(f["file"], f["value"]):
+                yield pd.DataFrame(parse(text.replace("\r\n", "\n").split("\n")), columns=names).assign(file=name)
+
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value").mapInPandas(run, schema + ", file string")
+    return rows if file else rows.drop("file")
+
+
+def _leagues(lines: list[str]) -> tuple[list[tuple], list[tuple]]:
+    rest = iter(lines)
     matches, roster = [], []
-    for _ in range(int(next(lines, "0").strip() or 0)):
-        name = next(lines)
-        roster += [(name, next(lines)) for _ in range(int(next(lines).strip()))]
-        matches += [(name, i, next(lines)) for i in range(int(next(lines).strip()))]
-    raw = spark.createDataFrame(matches, "tournament string, seq int, line string")
-    return raw.select("tournament", "seq", *parse_match(first_line(F.col("line")))), spark.createDataFrame(roster, "tournament string, team string")
+    for _ in range(_int(next(rest, ""))):
+        name = next(rest, "")
+        roster += [(name, next(rest, "")) for _ in range(_int(next(rest, "")))]
+        matches += [(name, i, next(rest, "")) for i in range(_int(next(rest, "")))]
+    return matches, roster
+
+
+def read_leagues(spark: SparkSession, path: str, file: bool = False) -> tuple[DataFrame, DataFrame]:
+    """matches (tournament, seq, home, home_score, away_score, away) and roster (tournament, team)."""
+    raw = _parsed(spark, path, lambda x: _leagues(x)[0], "tournament string, seq int, line string", file)
+    more = ["file"] if file else []
+    return raw.select("tournament", "seq", *parse_match(first_line(F.col("line"))), *more), _parsed(spark, path, lambda x: _leagues(x)[1], "tournament string, team string", file)
 
 
-def read_points(spark: SparkSession, path: str) -> DataFrame:
+def read_points(spark: SparkSession, path: str, file: bool = False) -> DataFrame:
     """(id, x) from "N D" and N lines of D numbers."""
-    words = " ".join(_lines(spark, path)).split()
-    n, d = int(words[0]), int(words[1])
-    return spark.createDataFrame([(i, [float(v) for v in words[2 + i * d : 2 + (i + 1) * d]]) for i in range(n)], "id long, x array<double>")
+
+    def parse(lines: list[str]) -> list[tuple]:
+        words = " ".join(lines).split()
+        n, d = map(_int, [*words[:2], "", ""][:2])
+        numbers = [_float(x) for x in words[2 : 2 + n * d]]
+        numbers += [0.0] * (n * d - len(numbers))
+        return [(i, numbers[i * d : (i + 1) * d]) for i in range(n)]
+
+    return _parsed(spark, path, parse, "id long, x array<double>", file)
 
 
-def read_signals(spark: SparkSession, path: str) -> DataFrame:
+def read_signals(spark: SparkSession, path: str, file: bool = False) -> DataFrame:
     """One row of parameters a scenario from key-value pairs in any order, case and spacing; absent ones are 0."""
-    words = " ".join(_lines(spark, path)).split()
-    pairs, rows = words[1:], []
-    for i in range(int(words[0])):
-        got = {k.lower(): v for k, v in zip(pairs[12 * i : 12 * i + 12 : 2], pairs[12 * i + 1 : 12 * i + 12 : 2])}
-        number = lambda k: int((re.match(r"[+-]?\d+", got.get(k, "")) or ["0"])[0])  # noqa: E731, B023
-        rows.append((i + 1, *map(number, KEYS)))
-    return spark.createDataFrame(rows, "scenario int, " + ", ".join(f"{k} int" for k in KEYS))
 
+    def parse(lines: list[str]) -> list[tuple]:
+        words = " ".join(lines).split()
+        pairs, rows = words[1:], []
+        for i in range(_int(words[0]) if words else 0):
+            own = pairs[2 * len(KEYS) * i : 2 * len(KEYS) * (i + 1)]
+            got = {k.lower(): v for k, v in zip(own[::2], own[1::2])}
+            rows.append((i + 1, *[_int(got.get(k, "")) for k in KEYS]))
+        return rows
 
-def read_tours(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """dist (case_id, src, dst, dist) and nodes (case_id, idx, name); the last node is the start."""
-    lines = iter([x for x in _lines(spark, path) if x.strip()])
+    return _parsed(spark, path, parse, "scenario int, " + ", ".join(f"{k} int" for k in KEYS), file)
+
+
+def _tours(lines: list[str]) -> tuple[list[tuple], list[tuple]]:
+    rest = iter([x for x in lines if x.strip()])
     dist, nodes = [], []
-    for case in range(1, int(next(lines)) + 1):
-        n = int(next(lines)) + 1
-        nodes += [(case, i, next(lines).strip()) for i in range(n)]
+    for case in range(1, _int(next(rest, "")) + 1):
+        n = _int(next(rest, "")) + 1
+        nodes += [(case, i, next(rest, "").strip()) for i in range(n)]
         for i in range(n):
-            dist += [(case, i, j, int(v)) for j, v in enumerate(next(lines).split())]
-    return spark.createDataFrame(dist, "case_id int, src int, dst int, dist int"), spark.createDataFrame(nodes, "case_id int, idx int, name string")
+            row = [_int(x) for x in next(rest, "").split()]
+            dist += [(case, i, j, x) for j, x in enumerate([*row, *[0] * n][:n])]
+    return dist, nodes
+
+
+def read_tours(spark: SparkSession, path: str, file: bool = False) -> tuple[DataFrame, DataFrame]:
+    """dist (case_id, src, dst, dist) and nodes (case_id, idx, name); the last node is the start."""
+    return _parsed(spark, path, lambda x: _tours(x)[0], "case_id int, src int, dst int, dist int", file), _parsed(spark, path, lambda x: _tours(x)[1], "case_id int, idx int, name string", file)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -64,12 +106,23 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.explode(F.split("value", r"\s+")).alias("token")).where("token != ''")
 
 
-def read_capacities(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """edges (scenario, u, v, cap) and queries (scenario, src, dst, tourists), up to "0 0"."""
-    words = iter(map(int, " ".join(_lines(spark, path)).split()))
+def read_digits(spark: SparkSession, path: str) -> DataFrame:
+    """(line, values) for each line of "n" and n values, in any number of files, distributed: the duplicate finder's lists."""
+    words = F.split(F.trim("value"), r"[^0-9+-]+")
+    numbers = F.filter(F.transform(words, lambda x: x.try_cast("int")), lambda x: x.isNotNull())
+    return spark.read.text(path).where("trim(value) != ''").select("value", numbers.alias("n")).select(F.col("value").alias("line"), F.slice("n", 2, F.greatest(F.size("n") - 1, F.lit(0))).alias("values"))
+
+
+def _capacities(lines: list[str]) -> tuple[list[tuple], list[tuple]]:
+    words = iter(map(_int, " ".join(lines).split()))
     edges, queries, scenario = [], [], 0
     while (n := next(words, 0)) | (m := next(words, 0)):
         scenario += 1
-        edges += [(scenario, next(words), next(words), next(words)) for _ in range(m)]
-        queries.append((scenario, next(words), next(words), next(words)))
-    return spark.createDataFrame(edges, "scenario int, u int, v int, cap int"), spark.createDataFrame(queries, "scenario int, src int, dst int, tourists int")
+        edges += [(scenario, next(words, 0), next(words, 0), next(words, 0)) for _ in range(m)]
+        queries.append((scenario, next(words, 0), next(words, 0), next(words, 0)))
+    return edges, queries
+
+
+def read_capacities(spark: SparkSession, path: str, file: bool = False) -> tuple[DataFrame, DataFrame]:
+    """edges (scenario, u, v, cap) and queries (scenario, src, dst, tourists), up to "0 0"."""
+    return _parsed(spark, path, lambda x: _capacities(x)[0], "scenario int, u int, v int, cap int", file), _parsed(spark, path, lambda x: _capacities(x)[1], "scenario int, src int, dst int, tourists int", file)

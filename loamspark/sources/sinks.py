@@ -13,6 +13,19 @@ def write_labels(labelled: DataFrame, path: str) -> None:
     labelled.orderBy("id").select(F.col("cluster").cast("string").alias("value")).write.text(path)
 
 
+def write_points(points: DataFrame, path: str) -> None:
+    """"N D", then a point a line in order of id, in one file as the format has it; for tables that fit a task."""
+    size = points.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("x")), F.lit(0)).alias("d"))
+    head = size.select(F.lit(None).cast("long").alias("id"), F.concat_ws(" ", "n", "d").alias("value"))
+    head.unionByName(point_lines(points)).coalesce(1).sortWithinPartitions(F.col("id").asc_nulls_first()).select("value").write.text(path)
+
+
+def state_log(events: DataFrame) -> DataFrame:
+    """events (id, ts, state) to (id, ts, state, value), a log line for each change of a worker's state."""
+    line = F.format_string("[%s] %s %s", F.col("id").cast("string"), F.col("ts").cast("string"), "state")
+    return events.select("id", "ts", "state", line.alias("value"))
+
+
 def point_lines(points: DataFrame) -> DataFrame:
     return points.select("id", F.array_join(F.transform("x", lambda v: v.cast("string")), " ").alias("value"))
 

@@ -18,12 +18,17 @@ def ticks(events: DataFrame, ts: str = "ts", width: str = "1 minute", late: str
 
 
 def queue_lengths(changes: DataFrame) -> DataFrame:
-    """changes (scenario, delta), streaming, to (scenario, length): a queue's length after each batch, held as state."""
+    """changes (scenario, seq, delta), streaming, to (scenario, length): a queue's length after each batch, held as state.
+
+    Changes take effect in the order of seq, and none makes a length negative.  So the result doesn't depend on how the
+    stream is cut into batches, as long as these come in that order.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         length = state.get[0] if state.exists else 0
-        for f in frames:
-            length = max(0, length + int(f["delta"].sum()))
+        changes = pd.concat(frames).sort_values("seq", kind="stable")
+        sums = length + changes["delta"].cumsum()
+        length = int(sums.iloc[-1] - min(0, sums.min()))
         state.update((length,))
         yield pd.DataFrame({"scenario": [key[0]], "length": [length]})
 

@@ -92,6 +92,15 @@ def test_readers_and_sinks(spark, tmp_path):
     (tmp_path / "c").write_text("2 1\n1 2 9\n1 2 5\n0 0\n")
     e, q = blocks.read_capacities(spark, str(tmp_path / "c"))
     assert tuple(e.first()) == (1, 1, 2, 9) and tuple(q.first()) == (1, 1, 2, 5)
+    (tmp_path / "more").mkdir()
+    for name, text in (("a", "2 2\n1 x\n3abc -2e1\n"), ("b", "1 1\n7\n"), ("c", "")):
+        (tmp_path / "more" / name).write_text(text)
+    got = blocks.read_points(spark, str(tmp_path / "more"), file=True).collect()
+    assert sorted((r.file[-1], r.id, r.x) for r in got) == [("a", 0, [1.0, 0.0]), ("a", 1, [3.0, -20.0]), ("b", 0, [7.0])]
+    sinks.write_points(blocks.read_points(spark, str(tmp_path / "p")), str(tmp_path / "w"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "w")).collect()] == ["2 2", "1.0 2.0", "3.0 4.5"]
+    (tmp_path / "d").write_text("5 0 1 2 2 3\n")
+    assert blocks.read_digits(spark, str(tmp_path / "d")).select(S.repeated_value(F.col("values"))).first()[0] == 2
     (tmp_path / "n").write_text("IV  X\n\nM\n")
     assert blocks.read_tokens(spark, str(tmp_path / "n")).count() == 3
     picture = sinks.bitmap(spark.createDataFrame([(0, 0, 5, 5)], "x0 int, y0 int, x1 int, y1 int"), 8, 8)
@@ -108,15 +117,23 @@ def test_waits(spark):
     rows = [(1, "2020-01-01 00:00:00", "hungry"), (1, "2020-01-01 00:00:02", "eating"), (1, "2020-01-01 00:00:03", "thinking")]
     got = waits.wait_stats(spark.createDataFrame(rows, "id int, ts string, state string")).first()
     assert (got.meals, got.wait_us) == (1, 2_000_000)
+    same = [(1, "2020-01-01 00:00:00", s) for s in ("eating", "hungry")]
+    assert waits.wait_stats(spark.createDataFrame(same, "id int, ts string, state string")).first().wait_us == 0
+
+
+def test_tree_ends(spark):
+    got = {(r.level, r.branch): r for r in registry.tree_segments(spark, SF).where("level < 2").collect()}
+    assert (got[0, 0].x1, got[0, 0].y1) == (320, 381)
+    assert (got[1, 0].x1, got[1, 0].y1) == (281, 293) and (got[1, 1].x1, got[1, 1].y1) == (359, 293)
 
 
 def test_streams(spark, tmp_path):
-    rows = spark.createDataFrame([(1, 2), (1, -5), (1, 3)], "scenario int, delta long")
+    rows = spark.createDataFrame([(1, 3, 3), (1, 1, 2), (1, 2, -5)], "scenario int, seq int, delta long")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     q = ticks.queue_lengths(source).writeStream.outputMode("update").format("memory").queryName("lengths").trigger(availableNow=True).start()
     q.awaitTermination()
-    assert spark.sql("SELECT length FROM lengths").collect()[-1].length == 0
+    assert spark.sql("SELECT length FROM lengths").collect()[-1].length == 3
     events = spark.createDataFrame([("2020-01-01 00:00:01",), ("2020-01-01 00:00:59",), ("2020-01-01 00:01:00",)], "ts string")
     assert sorted(r.n for r in ticks.ticks(events).collect()) == [1, 2]
 
