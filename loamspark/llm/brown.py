@@ -35,9 +35,9 @@ from .common import LOWER, UPPER, cut, pick, release, slices, written
 #: The end token's key among words; no word is empty.
 END = b""
 #: Different words that a worker counts before it hands them on.
-FLUSH = 600_000
+FLUSH = 300_000
 #: Different words, and places of words, that a worker gathers before it hands on their neighbours.
-FLUSH_WORDS, FLUSH_PLACES = 300_000, 4_000_000
+FLUSH_WORDS, FLUSH_PLACES = 200_000, 2_000_000
 #: A class before (below the number of classes) or after (from there on) a word, and how often.
 NEIGHBOUR = np.dtype([("code", "<u2"), ("n", "<u4")])
 TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -96,7 +96,7 @@ def pair_counts(texts: DataFrame, top: list[bytes]) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((k + 1) ** 2, np.int64)
-        for b in slices(batches, 0, 1 << 24):
+        for b in slices(batches, 0):
             ids, _, _ = _indexed(b.column(0).cast(pa.binary()).to_pylist(), index, k)
             if len(ids):
                 before = np.append(0, ids[:-1])  # END, number 0, stands before each text's first word
@@ -435,7 +435,8 @@ def lm_scores(docs: DataFrame, classes: int = 64, exchange_words: int = 1024, he
     """One row per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10).
 
     Learns from the texts that aren't held out.  Null and empty texts are one end token.  Repeated rows
-    count and are scored each for itself; a null id has the empty text's fold.  Without training texts
+    count and are scored each for itself; a null id has the empty text's fold.  Texts of any length count
+    whole.  Other columns are left out, whatever their names.  Of equally good classes a word gets the first.  Without training texts
     all words are alike unseen.  ``classes`` and ``exchange_words`` are least numbers, which grow with
     the vocabulary.  Empty in, empty out.
     """

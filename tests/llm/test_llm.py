@@ -256,6 +256,30 @@ def test_every_repeated_word_has_a_class(spark):
     assert scores[0].keys() == scores[1].keys() and all(np.allclose(scores[0][d], scores[1][d]) for d in scores[0])
 
 
+def test_scores_equal_a_slow_model(spark):
+    rnd = random.Random(9)
+    rows = [(i, " ".join(f"the {rnd.choice('abcdef')}{rnd.randint(0, 9)} will {rnd.choice('uvwxyz')}{rnd.randint(0, 9)}" for _ in range(rnd.randint(0, 6)))) for i in range(150)] + [(900, None), (901, "never seen before"), (None, "the a1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    train = df.where(~brown.held_out(F.col("doc_id"))).select("text")
+    m = brown.fit(train, brown.word_counts(train), 6, 20, 1000, 4, 0.9)
+    of = {w: (int(m.of[i]), float(m.c[i])) for w, i in m.words.items()}
+    rare = len(m.steps) - 1
+    want = []
+    for i, t in rows:
+        before, total = 0, 0.0
+        for w in [*(t or "").lower().encode().split(), b""]:
+            g, c = of.get(w, (rare, 0.0))
+            base = (c + 0.5) / (m.n + 0.5 * (m.v + 1))
+            inner = (c + 0.5) / m.rare if g == rare else c / m.sizes[g]
+            total += np.log10(0.9 * m.steps[before, g] * inner + 0.1 * base)
+            before = g
+        want.append((str(i), round(total, 6)))
+    got = brown.lm_scores(df, 6, 20, 1000)
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in got.collect()) == sorted(want)
+    held = got.where("held_out AND n_tokens > 1").agg(F.sum("score"), F.sum("base_score")).first()
+    assert held[0] > held[1]  # a lower perplexity than single words' on texts that weren't learnt
+
+
 def test_classes_grow_with_the_words(spark):
     texts = spark.createDataFrame([(" ".join(f"w{i}" for i in range(1000)),)] * 2, "text string")
     assert len(brown.fit(texts, brown.word_counts(texts), 4, 8, 100, 1, 0.9).steps) == 12
