@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, cut, pick, slices
+from .common import bit_filter, cut, pick, release, slices
 
 STATISTICS = (
     "log_chars", "log_words", "word_length", "word_length_sd", "upper_words", "capital_words", "digit_chars", "stop_chars", "exclamations",
@@ -91,25 +91,35 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def normal_equations(rows: DataFrame, model: Model) -> np.ndarray:
-    """For each fold the sum of (features, y)^T (features, y); one matrix a partition and fold is added up in one
+    """For each fold the sum of (features, y)^T (features, y), first in each partition, then of all partitions.
+
+    A partition with fewer rows of a fold than a row has numbers hands on those rows instead of their sum, which would
+    be larger; so what is shuffled follows the rows, not the number of partitions.  A fold's sums are added up in one
     task, so keep the partitions few."""
     d = model.w.shape[1] + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((FOLDS, d, d))
+        total, rest = {}, {k: np.zeros((0, d)) for k in range(FOLDS)}
         for b in batches:
             z = np.column_stack([model.features(_matrix(b.column(0))), b.column(1).to_numpy()])
             fold = b.column(2).to_numpy()
             for k in range(FOLDS):
-                part = z[fold == k]
-                total[k] += part.T @ part
-        yield pa.RecordBatch.from_arrays([pa.array(range(FOLDS), pa.int32()), pa.array([m.tobytes() for m in total], pa.binary())], names=["fold", "m"])
+                rest[k] = np.concatenate((rest[k], z[fold == k]))
+                if k in total or len(rest[k]) >= d:
+                    total[k] = total.get(k, 0) + rest[k].T @ rest[k]
+                    rest[k] = rest[k][:0]
+        some = [(k, k in total, total.get(k, rest[k])) for k in range(FOLDS) if k in total or len(rest[k])]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in some], pa.int32()), pa.array([x for _, x, _ in some], pa.bool_()), pa.array([m.tobytes() for _, _, m in some], pa.binary())], names=["fold", "summed", "m"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"fold": pdf["fold"][:1], "m": [sum(np.frombuffer(m) for m in pdf["m"]).tobytes()]})
+        total = np.zeros((d, d))
+        for summed, m in zip(pdf["summed"], pdf["m"]):
+            part = np.frombuffer(m).reshape(-1, d)
+            total += part if summed else part.T @ part
+        return pd.DataFrame({"fold": pdf["fold"][:1], "m": [total.tobytes()]})
 
     out = np.zeros((FOLDS, d, d))
-    for r in rows.select("x", "y", "fold").mapInArrow(run, "fold int, m binary").groupBy("fold").applyInPandas(add, "fold int, m binary").collect():
+    for r in rows.select("x", "y", "fold").mapInArrow(run, "fold int, summed boolean, m binary").groupBy("fold").applyInPandas(add, "fold int, m binary").collect():
         out[r["fold"]] = np.frombuffer(r["m"]).reshape(d, d)
     return out
 
@@ -157,6 +167,7 @@ def fit(rows: DataFrame, features: int, width: float, ridge: float, partitions:
     blocks = isotonic(n, y)
     model.at = np.array([((a + z + 1) / 2) / BINS * 2 - 0.5 for a, z, _ in blocks])
     model.to = np.array([mean for _, _, mean in blocks])
+    release(rows.sparkSession)
     return model
 
 

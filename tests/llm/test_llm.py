@@ -397,3 +397,17 @@ def test_mix_follows_its_schedule(spark, monkeypatch):
     real = mixing.schedule
     monkeypatch.setattr(mixing, "schedule", lambda sources, quotas: real(sources, quotas).where("false"))
     assert all(r.taken == 0 for r in mixing.mix(docs, block=16).collect())
+
+
+def test_normal_equations_equal_one_product(spark):
+    r = np.random.default_rng(3)
+    d, features = len(quality_rff.STATISTICS), 6
+    x, y, fold = r.normal(size=(200, d)), r.uniform(size=200), r.integers(0, quality_rff.FOLDS, 200)
+    model = quality_rff.Model(np.zeros(d), np.ones(d), r.normal(size=(d, features)), r.uniform(size=features), np.zeros(features + 1), np.array([0.0]), np.array([0.0]))
+    z = np.column_stack([model.features(x), y])
+    rows = spark.createDataFrame([(a.tolist(), float(b), int(k)) for a, b, k in zip(x, y, fold)], "x array<double>, y double, fold int")
+    for parts in (1, 90):  # partitions that sum, and partitions with too few rows to
+        got = quality_rff.normal_equations(rows.repartition(parts), model)
+        for k in range(quality_rff.FOLDS):
+            assert np.allclose(got[k], z[fold == k].T @ z[fold == k])
+    assert not quality_rff.normal_equations(rows.limit(0), model).any()
