@@ -28,6 +28,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A group with at least this share of all rows is "hot"; there are at most HOT_SHARE of them.
 HOT_SHARE = 256
+#: Average bytes on disk of a checkpoint's partitions below which they are merged, and those of a task that reads them then.
+SMALL, MERGED = 1 << 18, 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,9 +53,22 @@ def whole(text: str = "text") -> Column:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage at a checkpoint in the folder of ``spark.checkpoint.dir``; see :func:`shared_dir`."""
+    """Cuts the lineage at a checkpoint in the folder of ``spark.checkpoint.dir``; see :func:`shared_dir`.
+
+    Partitions of less than SMALL bytes on average are read together, about MERGED bytes in a task, so that small
+    tables don't take a task for each.  What a shuffle deals out by key stays as it is.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    rdd = out._jdf.queryExecution().analyzed().rdd()
+    parts, least = rdd.getNumPartitions(), 2 * df.sparkSession.sparkContext.defaultParallelism
+    if parts > 2 * least:
+        place = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(rdd.getCheckpointFile().get())
+        size = place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+        most = max(least, math.ceil(size / MERGED))
+        if size < SMALL * parts and parts > 2 * most:
+            return out.coalesce(most)
+    return out
 
 
 def cut_with(df: DataFrame, **facts: Column) -> tuple[DataFrame, dict]:

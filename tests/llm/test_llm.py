@@ -12,8 +12,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loamspark.llm import bpe, brown, fst_count, html_extract, jaccard_groups, line_dedup, mixing, queries, quality_rff, repetition
-from loamspark.llm.common import bit_filter, drop_keys
+from loamspark.llm import bpe, brown, common, fst_count, html_extract, jaccard_groups, line_dedup, mixing, queries, quality_rff, repetition
+from loamspark.llm.common import bit_filter, cut, drop_keys
 from loamspark.llm.components import components
 from loamspark.llm.exact_dedup import exact_dedup
 
@@ -327,6 +327,15 @@ def test_html_table(spark):
     assert {(r.page_id, r.text, r.n_chars) for r in html_extract.extract_html(rows).collect()} == {(1, "a", 1), (None, "", 0)}
 
 
+def test_small_checkpoints_are_read_by_few_tasks(spark):
+    few = 2 * spark.sparkContext.defaultParallelism
+    rows = spark.range(1000).repartition(211)
+    got = cut(rows)
+    assert got.rdd.getNumPartitions() == few and sorted(r.id for r in got.collect()) == [*range(1000)]
+    wide = spark.range(10 * few, numPartitions=5 * few).select("id", F.expr(f"array_join(transform(sequence(0, {common.SMALL // 32}), i -> sha2(string(id * 100000 + i), 256)), '')").alias("x"))
+    assert cut(wide).rdd.getNumPartitions() == 5 * few  # large ones stay apart
+
+
 def test_bitmaps_lose_nothing(spark):
     rows = spark.range(5000)
     some = spark.range(0, 5000, 7)
