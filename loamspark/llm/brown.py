@@ -38,6 +38,10 @@ END = b""
 FLUSH = 300_000
 #: Different words, and places of words, that a worker gathers before it hands on their neighbours.
 FLUSH_WORDS, FLUSH_PLACES = 200_000, 2_000_000
+#: Word numbers whose probabilities a worker holds at a time; its arrays take some 100 bytes for each.
+TOKENS = 1 << 18
+#: Parts by hash of the words that are equally common, of which some are held.
+PARTS = 1 << 14
 #: A class before (below the number of classes) or after (from there on) a word, and how often.
 NEIGHBOUR = np.dtype([("code", "<u2"), ("n", "<u4")])
 TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -344,7 +348,7 @@ def class_pairs(codes: DataFrame, rest: DataFrame, of: np.ndarray, g: int) -> np
     def tally(cells) -> object:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(g * g, np.int64)
-            for b in batches:
+            for b in slices(batches, 0, TOKENS):
                 for first, second in cells(b.column(0)):
                     total += np.bincount(first * g + second, minlength=g * g)
             some = np.flatnonzero(total)
@@ -372,23 +376,29 @@ def class_pairs(codes: DataFrame, rest: DataFrame, of: np.ndarray, g: int) -> np
     return out.reshape(g, g)
 
 
-def most_frequent(counts: DataFrame, held: int) -> tuple[list[bytes], np.ndarray]:
-    """END, then the words whose count reaches a bound that ``held`` words reach at most; commonest first.
+def most_frequent(counts: DataFrame, held: int) -> tuple[list[bytes], np.ndarray, Column]:
+    """END, then at most ``held`` words, commonest first; their counts; the condition by which they were chosen.
 
-    The bound comes from a histogram over sixteenths of powers of two, so no task or driver sorts more.
+    It comes from a histogram over sixteenths of powers of two, and in the last of these, where not all words have
+    room, from one over the words' hashes; so no task or driver sorts more.
     """
-    bucket = F.floor(F.log2("c") * 16)
-    sizes = {r["b"]: r["n"] for r in counts.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    bound, room = max(sizes, default=0) + 1, held
+    bucket, part = F.floor(F.log2("c") * 16), F.pmod(F.xxhash64("word"), F.lit(PARTS))
+    count = lambda rows, by: {r["b"]: r["n"] for r in rows.groupBy(by.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = count(counts, bucket)
+    bound, room, among = max(sizes, default=0) + 1, held, F.lit(False)
     for b in sorted(sizes, reverse=True):
-        room -= sizes[b]
-        if room < 0:
+        if sizes[b] > room:
+            parts, end = count(counts.where(bucket == F.lit(b)), part), 0
+            while parts.get(end, 0) <= room:
+                room -= parts.get(end, 0)
+                end += 1
+            among = (bucket == F.lit(b)) & (part < end)
             break
-        bound = b
-    end = F.col("word") == F.lit(END)
-    got = counts.where((bucket >= F.lit(bound)) | end).toArrow()
+        bound, room = b, room - sizes[b]
+    among = (bucket >= F.lit(bound)) | among
+    got = counts.where(among | (F.col("word") == F.lit(END))).toArrow()
     order = got.append_column("rest", pc.not_equal(pc.binary_length(got["word"]), 0)).sort_by([("rest", "ascending"), ("c", "descending"), ("word", "ascending")])
-    return order["word"].to_pylist(), order["c"].to_numpy().astype(np.float64)
+    return order["word"].to_pylist(), order["c"].to_numpy().astype(np.float64), among
 
 
 def transitions(table: np.ndarray) -> np.ndarray:
@@ -400,7 +410,7 @@ def clustered(texts: DataFrame, counts: DataFrame, classes: int, exchange_words:
     total = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     n, v = total[0] or 0, total[1]
     grown = int(v ** (1 / 3))
-    words, c = most_frequent(counts, held)
+    words, c, among = most_frequent(counts, held)
     if not words:
         words, c = [END], np.zeros(1)
     k = min(max(exchange_words, 4 * grown), len(words))
@@ -419,7 +429,7 @@ def clustered(texts: DataFrame, counts: DataFrame, classes: int, exchange_words:
     of = np.append(of[:k], np.full(len(words) - k, g - 1))
     index = {w: i for i, w in enumerate(words)}
     if len(words) > k:
-        got = classed.where(F.col("c") >= F.lit(int(c[1:].min()))).select("word", "g").toArrow()
+        got = classed.where(among).select("word", "g").toArrow()
         of[[index[w] for w in got["word"].to_pylist() if w in index]] = [x for w, x in zip(got["word"].to_pylist(), got["g"].to_pylist()) if w in index]
     return Model(index, c, of, np.zeros((g, g)), sizes, n, v, rare, mix), classed
 
@@ -460,13 +470,13 @@ def _lm_scores(docs: DataFrame, classes: int, exchange_words: int, held: int, sw
     sums = ("n_known", "base_score", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 3, TOKENS):
             flat, sizes = lists_of(b.column(3))
             s = shared.value.held_parts(flat.to_numpy(zero_copy_only=False), sizes)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(sizes), *(pa.array(s[x]) for x in sums)], names=["id", "row", "held_out", "n_tokens", *sums])
 
     def run_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1, TOKENS):
             s = shared.value.open_parts(*open_arrays(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(s[x]) for x in sums)], names=["row", *(f"_{x}" for x in sums)])
 

@@ -105,10 +105,12 @@ def written(df: DataFrame) -> Iterator[DataFrame]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches with ``most`` bytes of text or one row, so that a worker's memory doesn't
-    follow Spark's batch size.  ``text``: number of the column that holds it."""
+    """The same rows in batches with ``most`` bytes of text, or items of lists, or one row, so that a worker's memory
+    doesn't follow Spark's batch size.  ``text``: number of the column that holds them."""
     for b in batches:
-        part = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // most
+        column = b.column(text)
+        length = pc.list_value_length(column) if pa.types.is_list(column.type) else pc.binary_length(column)
+        part = np.cumsum(pc.fill_null(length, 0).to_numpy(zero_copy_only=False).astype(np.int64)) // most
         starts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
         for start, end in zip(starts, starts[1:]):
             if end > start:

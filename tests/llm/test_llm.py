@@ -285,6 +285,18 @@ def test_classes_grow_with_the_words(spark):
     assert len(brown.fit(texts, brown.word_counts(texts), 4, 8, 100, 1, 0.9).steps) == 12
 
 
+def test_words_as_common_as_others_fill_the_room(spark):
+    counts = spark.createDataFrame([(f"w{i}".encode(), 2) for i in range(1000)] + [(b"", 5), (b"the", 9)], "word binary, c long")
+    words, c, _ = brown.most_frequent(counts, 100)
+    assert words[:2] == [b"", b"the"] and 90 < len(words) <= 101 and c.tolist() == [5, 9] + [2] * (len(words) - 2)
+
+
+def test_workers_score_few_tokens_at_a_time():
+    lists = pa.RecordBatch.from_arrays([pa.array([[1] * 300] * 50 + [[]] + [[1] * 5000])], names=["ids"])
+    got = [pa.compute.sum(pa.compute.list_value_length(b.column(0))).as_py() for b in common.slices(iter([lists]), 0, 1000)]
+    assert sum(got) == 20_000 and sorted(got)[-1] == 5000 and sorted(got)[-2] < 1000 + 300
+
+
 def test_quality_learns(spark):
     rnd = random.Random(8)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 8)))
