@@ -18,6 +18,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +61,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     out = df.checkpoint()
+    trim(df.sparkSession)
     rdd = out._jdf.queryExecution().analyzed().rdd()
     parts, least = rdd.getNumPartitions(), 2 * df.sparkSession.sparkContext.defaultParallelism
     if parts > 2 * least:
@@ -81,9 +83,29 @@ def cut_with(df: DataFrame, **facts: Column) -> tuple[DataFrame, dict]:
 
 def release(spark: SparkSession) -> None:
     """Between an operator's phases: shuffles, broadcasts and checkpoints no longer in use are deleted
-    when the driver collects its garbage, which on its own it may do late."""
+    when the driver collects its garbage, which on its own it may do late; its heap shrinks, too."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trim(spark)
+
+
+def trim(spark: SparkSession) -> bool:
+    """Hands back to the system what the driver's JVM has freed outside its heap; false where it has no such command.
+
+    Compiling a plan's code takes much memory there, which the C library keeps, in dozens of pools, once it is freed.
+    """
+    jvm, new = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    try:
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        args = new(jvm.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        args[2], args[3] = new(jvm.Object, 0), new(jvm.String, 0)
+        # The server's own class is closed to reflection, its interface is not.
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        invoke.invoke(server, args)
+    except Py4JError:
+        return False
+    return True
 
 
 def delete(spark: SparkSession, path: str) -> None:

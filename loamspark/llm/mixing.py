@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, attach, cut, cut_with, pick, sizes, whole
+from .common import WORD, attach, cut, cut_with, pick, release, sizes, whole
 
 #: 2**31 * 0.618..., odd: multiples modulo 2**31 are a permutation that fills the circle evenly.
 GOLDEN, CIRCLE_BITS, BUCKET_BITS = 1327217885, 31, 12
@@ -117,6 +117,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     sources = cut(sources.withColumn("quota", F.col("passes") * F.col("blocks") + F.ceil(F.col("rest") / block)))
     total = sources.agg(F.sum("n"), F.sum("quota")).first()
     n, quotas = total[0] or 0, total[1] or 0
+    release(docs.sparkSession)
 
     # A source's blocks: how often each is taken whole, how much of it besides, and from which slot on.
     taken = schedule(sources, quotas).join(sources.select("sid", "blocks", "passes", "rest"), "sid")

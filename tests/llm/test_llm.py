@@ -1,3 +1,4 @@
+import gc
 import glob
 import hashlib
 import os
@@ -348,6 +349,35 @@ def test_small_checkpoints_are_read_by_few_tasks(spark):
     assert cut(wide).rdd.getNumPartitions() == 5 * few  # large ones stay apart
 
 
+def test_release_hands_back_memory_outside_the_heap(spark):
+    jvm = spark.sparkContext._jvm
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+
+    def held() -> int:
+        """KB of the C library's pools, which begin at multiples of 64 MB."""
+        total, inside = 0, False
+        for line in open(f"/proc/{pid}/smaps"):
+            if m := re.match(r"([0-9a-f]+)-([0-9a-f]+) rw-p \S+ \S+ 0\s*(\[heap\])?$", line):
+                start, end = int(m[1], 16), int(m[2], 16)
+                inside = bool(m[3]) or start > 1 << 32 and start % (1 << 26) == 0 and end - start <= 1 << 26
+            elif re.match("[0-9a-f]+-", line):
+                inside = False
+            elif inside and line.startswith("Anonymous:"):
+                total += int(line.split()[1])
+        return total
+
+    blocks = [jvm.java.nio.ByteBuffer.allocateDirect(1 << 16) for _ in range(1600)]
+    last = blocks.pop()  # above the others, so that nothing falls off the end
+    del blocks
+    for _ in range(3):
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(0.5)
+    before = held()
+    common.release(spark)
+    assert before - held() > 50 << 10 and last.capacity() == 1 << 16
+
+
 def test_bitmaps_lose_nothing(spark):
     rows = spark.range(5000)
     some = spark.range(0, 5000, 7)
