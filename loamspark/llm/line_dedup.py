@@ -9,6 +9,7 @@ with ``short_copies`` go if the same line begins earlier and they are not blank.
    segment of the shorter in common, at a place that the lengths bound.  Index rows carry a segment's
    hash with its number and the line's length, probe rows the hashes of the longer line's substrings at
    the few places that can match (left and right of the segment, no more edits than there are).
+   Hashes are counted first: only rows whose hash a bitmap can't clear of being alone are shuffled to meet.
    Lists of one hash that would make many pairs are cut finer: lines there must share another half of
    a segment as well.
 3. Pairs that meet are compared by their texts: pieces that must be there, a sieve of character classes,
@@ -172,13 +173,15 @@ def line_dedup(docs: DataFrame, max_edits: int = 1, min_chars: int = 24, carry:
     lines = lines.where(joined | F.col("line").rlike(WORD)) if short_copies else lines.where(joined)
     digest, number = F.unhex(F.md5("line")), F.xxhash64("line")
     place = F.struct("id", "rid", "at")
-    hashes = {f"h{i}": h for i, h in enumerate([*index_hashes(F.col("line"), F.col("size"), k), *probe_hashes(F.col("line"), F.col("size"), k)])}
+    # A probe for lines of the same length, at the segment's own place, is the line's own index hash.
+    places, own = probe_places(k), lambda d, i, shift: d == 0 and shift == 0
+    others = [p for p, place_at in enumerate(places) if not own(*place_at)]
+    hashes = {f"h{i}": h for i, h in enumerate(index_hashes(F.col("line"), F.col("size"), k))} | {f"p{p}": h for p, h in enumerate(probe_hashes(F.col("line"), F.col("size"), k)) if p in others}
     if short_copies:
         hashes = {x: F.when(joined, h) for x, h in hashes.items()}
     # A line's hashes follow from it: as keys they need no state of their own.
     different = lines.select(digest.alias("key"), number.alias("lid"), place.alias("place"), *[h.alias(x) for x, h in hashes.items()]).groupBy("key", "lid", *hashes).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
-    of_index, of_probe = [*hashes][: k + 1], [*hashes][k + 1 :]
-    different = different.select("key", "lid", "first", "n", F.array(*of_index).alias("index"), F.array(*of_probe).alias("probe"))
+    different = different.select("key", "lid", "first", "n", F.array(*[f"h{i}" for i in range(k + 1)]).alias("index"), F.array(*[f"p{p}" for p in others]).cast("array<bigint>").alias("other"))
     different = cut(different)
     release(docs.sparkSession)
     counted = {"rows": F.count(F.lit(1))}
@@ -188,22 +191,26 @@ def line_dedup(docs: DataFrame, max_edits: int = 1, min_chars: int = 24, carry:
         some = bit_filter(lines.where(joined).select("line", number.alias("lid")), F.col("lid"), lids.select(F.col("lid").alias("k")), facts["rows"])
         return some.join(lids, "lid", "left_semi").distinct()
 
-    index = different.select("lid", F.posexplode("index").alias("i", "h")).where("h IS NOT NULL")
-    place_of = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(d).alias("shorter")) for d, i, _ in probe_places(k)])
-    probe = different.select("lid", F.posexplode("probe").alias("p", "h")).where("h IS NOT NULL").select("lid", "h", F.get(place_of, F.col("p")).alias("p")).select("lid", "h", "p.i", "p.shorter")
-    count = lambda rows, name: rows.groupBy("h").agg(F.count(F.lit(1)).alias(name))
-    long = cut(count(index, "a").join(count(probe, "b"), "h").where(F.col("a") * F.col("b") > long_list).select("h")) if k else different.select("lid").where("false").toDF("h")
-    if long.head(1):
-        index_long, probe_long = (cut(x.join(long, "h", "left_semi")) for x in (index, probe))
-        pairs = finer(index_long, probe_long, cut(texts_of(index_long.select("lid").unionByName(probe_long.select("lid")))), k)
-        index, probe = (x.join(long, "h", "left_anti") for x in (index, probe))
-        pairs = pairs.unionByName(index.join(probe.withColumnRenamed("lid", "other").drop("i"), "h").select("lid", "other"))
-    else:
-        pairs = index.join(probe.withColumnRenamed("lid", "other").drop("i"), "h").select("lid", "other")
+    # A hash brings pairs if it is in the index and is probed by more than the line that it stands for.
+    met = different.select(F.posexplode(F.concat("index", "other")).alias("at", "h")).where("h IS NOT NULL").groupBy("h").agg(F.count_if(F.col("at") <= k).alias("a"), F.count(F.lit(1)).alias("b"))
+    met, facts = cut_with(met.where("a > 0 AND b > 1").select("h", "b", ((F.col("a") * F.col("b") > long_list) & F.lit(k > 0)).alias("long")), **counted, **sizes("b"), long=F.count_if(F.col("long")))
+    release(docs.sparkSession)
+    meeting = lambda rows: cut(bit_filter(rows.where("h IS NOT NULL"), F.col("h"), met.select(F.col("h").alias("k")), facts["rows"]))
+    place_of = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(d).alias("shorter")) for d, i, _ in places])
+    probes = F.array(*[F.get("index", F.lit(i)) if own(d, i, shift) else F.get("other", F.lit(others.index(p))) for p, (d, i, shift) in enumerate(places)])
+    index = meeting(different.select("lid", F.posexplode("index").alias("i", "h")))
+    probe = meeting(different.select("lid", F.posexplode(probes).alias("p", "h")).select("lid", "h", F.get(place_of, F.col("p")).alias("p")).select("lid", "h", "p.i", "p.shorter"))
+    index, probe = (attach(x, met, ["h"], "b", facts, "inner").drop("b") for x in (index, probe))
+    pairs = index.where("NOT long").select("lid", "h").join(probe.where("NOT long").select("h", F.col("lid").alias("other")), "h").select("lid", "other")
+    if facts["long"]:
+        index_long, probe_long = (cut(x.where("long").drop("long")) for x in (index, probe))
+        pairs = pairs.unionByName(finer(index_long, probe_long, cut(texts_of(index_long.select("lid").unionByName(probe_long.select("lid")))), k))
     release(docs.sparkSession)
     pairs = cut(pairs.where("lid != other").select(F.least("lid", "other").alias("a"), F.greatest("lid", "other").alias("b")).distinct())
     texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("lid"))).withColumn("key", F.unhex(F.md5("line")))
-    texts = cut(texts.join(different.select("key", "first"), "key"))
+    texts, facts = cut_with(texts, **counted)
+    hashed = lambda rows: rows.select(F.xxhash64("key").alias("k"))
+    texts = cut(texts.join(bit_filter(different.select("key", "first"), F.xxhash64("key"), hashed(texts), facts["rows"]), "key"))
     release(docs.sparkSession)
     of = lambda side: texts.select(F.col("lid").alias(side), F.col("line").alias(f"line_{side}"), F.col("key").alias(f"key_{side}"), F.col("first").alias(f"first_{side}"))
     near = pairs.join(of("a"), "a").join(of("b"), "b")
@@ -211,9 +218,12 @@ def line_dedup(docs: DataFrame, max_edits: int = 1, min_chars: int = 24, carry:
     x, y = F.col("line_a"), F.col("line_b")
     close = F.when(pieces_match(x, y, k), F.when(sieve(x, y, k), bind(trimmed(x, y), lambda t: within(t["x"], t["y"], k))))
     near = near.select("key_a", "key_b", "first_a", "first_b", close.alias("close")).where("close")
-    late = near.select(F.when(F.col("first_a") < F.col("first_b"), F.col("key_b")).otherwise(F.col("key_a")).alias("key")).distinct().withColumn("late", F.lit(True))
+    late = near.select(F.when(F.col("first_a") < F.col("first_b"), F.col("key_b")).otherwise(F.col("key_a")).alias("key")).distinct()
+    late, facts = cut_with(late.withColumn("late", F.lit(True)), **counted)
 
-    hit, facts = cut_with(different.select("key", "first", "n").join(late, "key", "left").where("n > 1 OR late"), **sizes("n"), **counted)
+    first_only, perhaps = bit_split(different.select("key", "first", "n"), F.xxhash64("key"), hashed(late), facts["rows"])
+    hit = first_only.where("n > 1").withColumn("late", F.lit(None).cast("boolean")).unionByName(perhaps.join(late, "key", "left").where("n > 1 OR late"))
+    hit, facts = cut_with(hit, **sizes("n"), **counted)
     placed = lines.select(digest.alias("key"), place.alias("place"))
     placed = cut(bit_filter(placed, F.xxhash64("key"), hit.select(F.xxhash64("key").alias("k")), facts["rows"]))
     release(docs.sparkSession)

@@ -159,6 +159,16 @@ def test_exact_copies_of_short_lines(spark):
     assert {r.doc_id: r.text for r in piped.collect()} == got(short_copies=True)
 
 
+def test_lone_lines_are_shuffled_once(spark):
+    rnd = random.Random(3)
+    docs = [(d, "\n".join("".join(rnd.choice("abcdefghijklmnop ") for _ in range(60)) for _ in range(20))) for d in range(400)]
+    df = cut(spark.createDataFrame(docs, "doc_id long, text string"))
+    spent = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = spent()
+    assert {r.doc_id: r.text for r in line_dedup.line_dedup(df, short_copies=True).collect()} == dict(docs)
+    assert spent() - before < 200 * 8000
+
+
 def test_repetition_against_brute_force():
     rnd = random.Random(2)
     for _ in range(60):
