@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import pick, slices
+from .common import pick, slices, thrifty
 
 #: Matches whose ids a task remembers, in two generations of this size: when the younger is full it becomes
 #: the older, and what is met again moves to the younger.  An idle worker remembers none.
@@ -221,7 +221,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
     rows = pick(docs, id=id_col, text=text_col)
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, ids array<int>" + ", decoded binary" * decoded).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(thrifty(run), f"id {kind}, ids array<int>" + ", decoded binary" * decoded).withColumnRenamed("id", id_col)
 
 
 def bpe_decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -235,4 +235,4 @@ def bpe_decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_i
 
     rows = pick(encoded, id=id_col, ids=ids_col)
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, ids array<int>, decoded binary").withColumnRenamed("id", id_col).withColumnRenamed("ids", ids_col)
+    return rows.mapInArrow(thrifty(run), f"id {kind}, ids array<int>, decoded binary").withColumnRenamed("id", id_col).withColumnRenamed("ids", ids_col)

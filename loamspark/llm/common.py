@@ -9,10 +9,11 @@ Conventions for every operator:
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -83,10 +84,21 @@ def cut_with(df: DataFrame, **facts: Column) -> tuple[DataFrame, dict]:
 
 def release(spark: SparkSession) -> None:
     """Between an operator's phases: shuffles, broadcasts and checkpoints no longer in use are deleted
-    when the driver collects its garbage, which on its own it may do late; its heap shrinks, too."""
+    when the driver collects its garbage, which on its own it may do late; its heap shrinks, too, and so do the executors'."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     trim(spark)
+    shrink(spark)
+
+
+def shrink(spark: SparkSession) -> int:
+    """Executors collect their garbage, and so hand back to the system the heap that a phase needed and the next one
+    doesn't; their number.  A task for each, which idle executors are dealt one by one.  Where the driver is the
+    executor there is nothing more to do."""
+    executors = spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1
+    if executors:
+        spark.range(0, executors, 1, executors).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
+    return executors
 
 
 def trim(spark: SparkSession) -> bool:
@@ -126,6 +138,22 @@ def written(df: DataFrame) -> Iterator[DataFrame]:
         delete(spark, path)
 
 
+def thrifty(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function for mapInArrow; at a task's end the worker hands back to the system what the task has freed.
+
+    Else the C library and Arrow keep it while the worker is idle, and others work.
+    """
+
+    def whole_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library has it
+        if give_back:
+            give_back(0)
+
+    return whole_task
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """The same rows in batches with ``most`` bytes of text, or items of lists, or one row, so that a worker's memory
     doesn't follow Spark's batch size.  ``text``: number of the column that holds them."""

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, attach, bit_filter, cut, cut_with, drop_keys, pick, release, row_key, sizes, slices, written
+from .common import HOT_SHARE, attach, bit_filter, cut, cut_with, drop_keys, pick, release, row_key, sizes, slices, thrifty, written
 from .components import components
 
 CELL_BITS, BLOCK_BITS, SALTS = 20, 14, 64
@@ -157,7 +157,7 @@ def _read(rows: DataFrame, n: int) -> DataFrame:
             salt = TaskContext.get().partitionId() % SALTS
             yield pa.RecordBatch.from_arrays([pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array([salt] * k, pa.int32()), pa.array(data, pa.binary())], names=names)
 
-    return rows.mapInArrow(run, f"id {kind}, text_hash long, size int, sid long, block int, salt int, data binary")
+    return rows.mapInArrow(thrifty(run), f"id {kind}, text_hash long, size int, sid long, block int, salt int, data binary")
 
 
 def _entries(rows: DataFrame, order) -> DataFrame:
@@ -180,7 +180,7 @@ def _entries(rows: DataFrame, order) -> DataFrame:
                 sid, size, index = (np.repeat(x, count) for x in np.array(facts, np.int64).T)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(sid), pa.array(size.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(place < index)], names=["token", "sid", "size", "place", "indexed"])
 
-    return rows.select("text").mapInArrow(run, "token long, sid long, size int, place int, indexed boolean")
+    return rows.select("text").mapInArrow(thrifty(run), "token long, sid long, size int, place int, indexed boolean")
 
 
 def _sets(rows: DataFrame, n: int) -> DataFrame:
@@ -189,7 +189,7 @@ def _sets(rows: DataFrame, n: int) -> DataFrame:
             sets = token_sets(b.column(0).cast(pa.binary()).to_pylist(), n)
             yield pa.RecordBatch.from_arrays([pa.array(list(map(set_id, sets)), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["sid", "tokens"])
 
-    return rows.select("text").mapInArrow(run, "sid long, tokens binary")
+    return rows.select("text").mapInArrow(thrifty(run), "sid long, tokens binary")
 
 
 def _overlaps(pairs: DataFrame) -> DataFrame:
@@ -202,7 +202,7 @@ def _overlaps(pairs: DataFrame) -> DataFrame:
                 both = [len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(v, pa.int64()) for v in (list(map(len, x)), list(map(len, y)), both))], names=["a", "b", "size_x", "size_y", "both"])
 
-    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, size_x long, size_y long, both long")
+    return pairs.select("a", "b", "x", "y").mapInArrow(thrifty(run), "a long, b long, size_x long, size_y long, both long")
 
 
 def _joined(pairs: DataFrame, xs: DataFrame, ys: DataFrame) -> DataFrame:

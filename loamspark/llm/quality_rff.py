@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, cut, pick, release, slices
+from .common import bit_filter, cut, pick, release, slices, thrifty
 
 STATISTICS = (
     "log_chars", "log_words", "word_length", "word_length_sd", "upper_words", "capital_words", "digit_chars", "stop_chars", "exclamations",
@@ -62,7 +62,7 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             x = [statistics(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["id", "x"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, x array<double>")
+    return rows.mapInArrow(thrifty(run), f"id {rows.schema['id'].dataType.simpleString()}, x array<double>")
 
 
 @dataclass
@@ -119,7 +119,7 @@ def normal_equations(rows: DataFrame, model: Model) -> np.ndarray:
         return pd.DataFrame({"fold": pdf["fold"][:1], "m": [total.tobytes()]})
 
     out = np.zeros((FOLDS, d, d))
-    for r in rows.select("x", "y", "fold").mapInArrow(run, "fold int, summed boolean, m binary").groupBy("fold").applyInPandas(add, "fold int, m binary").collect():
+    for r in rows.select("x", "y", "fold").mapInArrow(thrifty(run), "fold int, summed boolean, m binary").groupBy("fold").applyInPandas(add, "fold int, m binary").collect():
         out[r["fold"]] = np.frombuffer(r["m"]).reshape(d, d)
     return out
 
@@ -160,7 +160,7 @@ def fit(rows: DataFrame, features: int, width: float, ridge: float, partitions:
             at = np.clip((raw + 0.5) / 2 * BINS, 0, BINS - 1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(at), b.column(1)], names=["bin", "y"])
 
-    bins = rows.mapInArrow(run, "bin int, y double").groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).collect()
+    bins = rows.mapInArrow(thrifty(run), "bin int, y double").groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).collect()
     n, y = np.zeros(BINS), np.zeros(BINS)
     for r in bins:
         n[r["bin"]], y[r["bin"]] = r["n"], r["y"]
@@ -202,7 +202,7 @@ def quality_filter(docs: DataFrame, labels: DataFrame, features: int = 256, widt
                 b = b.filter(pa.array(np.round(model.score(x), 9) >= threshold))
             yield b
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(thrifty(run), docs.schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, features: int = 256, width: float = 4.0, ridge: float = 1.0, threshold: float = 0.7, partitions: int = 16, max_rows: int = 1_000_000, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
@@ -224,5 +224,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, features: int = 256, widt
             score = np.round(model.score(_matrix(b.column(1))), 9) if model else np.ones(b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["id", "score", "predicted"])
 
-    out = rows.mapInArrow(run, f"id {kind}, score double, predicted int")
+    out = rows.mapInArrow(thrifty(run), f"id {kind}, score double, predicted int")
     return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", "predicted")

@@ -4,6 +4,8 @@ import hashlib
 import os
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
 
@@ -388,6 +390,62 @@ def test_release_hands_back_memory_outside_the_heap(spark):
     assert before - held() > 50 << 10 and last.capacity() == 1 << 16
 
 
+#: An executor fills its heap and is idle then; MB that its process holds before and after.
+EXECUTOR = """
+import re
+import time
+from pyspark.sql import SparkSession, functions as F
+from loamspark.llm import common
+spark = SparkSession.builder.config(map={"spark.master": "local-cluster[1,1,1000]", "spark.executor.memory": "800m", "spark.ui.enabled": "false",
+    "spark.executor.extraJavaOptions": "-XX:+UseG1GC", "spark.driver.bindAddress": "127.0.0.1", "spark.driver.host": "127.0.0.1"}).getOrCreate()
+jvm = spark.sparkContext._jvm.java.lang.ProcessHandle.current()
+def held():
+    return sum(int(re.search(r"VmRSS:\\s+(\\d+)", open(f"/proc/{p.pid()}/status").read())[1]) >> 10 for p in jvm.children().toArray() if b"CoarseGrained" in open(f"/proc/{p.pid()}/cmdline", "rb").read())
+spark.range(0, 2, 1, 1).select(F.size(F.array_repeat(F.col("id"), 50000000))).collect()
+before = held()
+n = common.shrink(spark)
+time.sleep(3)  # the heap goes back in the background
+print("HELD", n, before, held())
+"""
+
+
+def test_idle_executors_hand_back_their_heap(tmp_path):
+    import pyspark
+
+    home = tmp_path / "home"  # executors work in a folder of Spark's home
+    (home / "work").mkdir(parents=True)
+    for x in os.listdir(os.path.dirname(pyspark.__file__)):
+        if x != "work":
+            (home / x).symlink_to(f"{os.path.dirname(pyspark.__file__)}/{x}")
+    env = os.environ | {"SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "PYSPARK_PYTHON": sys.executable, "SPARK_LOCAL_DIRS": str(tmp_path)}
+    env = {k: v for k, v in env.items() if k not in ("PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    said = subprocess.run([sys.executable, "-c", EXECUTOR], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert "HELD" in said.stdout, said.stderr[-2000:]
+    n, before, after = map(int, said.stdout.split("HELD")[1].split())
+    assert n == 1 and before - after > 100
+
+
+def test_idle_workers_hand_back_memory(spark):
+    def run(batches):
+        for b in batches:
+            blocks = [bytearray(1 << 16) for _ in range(1600)]
+            sys.last = blocks.pop()  # above the others, so that nothing falls off the end
+            del blocks
+            yield b
+
+    def held(batches):
+        for b in batches:
+            kept = int(re.search(r"Anonymous:\s+(\d+)", open("/proc/self/smaps_rollup").read())[1])
+            yield pa.RecordBatch.from_arrays([pa.array([kept] * b.num_rows, pa.int64())], names=["id"])
+
+    def after(f):
+        rows = spark.range(1, numPartitions=1)
+        rows.mapInArrow(f, "id long").collect()
+        return rows.mapInArrow(held, "id long").first().id
+
+    assert after(run) - after(common.thrifty(run)) > 50 << 10
+
+
 def test_bitmaps_lose_nothing(spark):
     rows = spark.range(5000)
     some = spark.range(0, 5000, 7)
